@@ -18,9 +18,25 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import token_output
+
+    return token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_jaccard_join": op5_jaccard_join,
+        "op9_token_output": op9_token_output,
+        "op10_language_id": op10_language_id,
     }
 
 
