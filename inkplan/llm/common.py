@@ -31,10 +31,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/inkplan/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, uri: str) -> DataFrame:
-    """The rows of df, computed once and kept as a table at uri; later plans start from there."""
-    df.write.mode("overwrite").parquet(uri)
-    return df.sparkSession.read.schema(df.schema).parquet(uri)
+    """The rows of df, computed once and kept as a table at uri; later plans start from there.
+
+    The shuffle files of the write are deleted as soon as it ends, so a job of many steps needs the disk of its largest.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(uri)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(uri)
 
 
 def discard(spark: SparkSession, uri: str) -> None:
@@ -97,6 +109,40 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+class IdFilter:
+    """A set of longs that may hold some more: 64-bit words, about 16 bits an id, 8 MB at most whatever the ids' number.
+
+    Beyond the four million ids that this serves well it lets more and more others through, which a join then removes.
+    """
+
+    MOST_WORDS = 1 << 20
+
+    def __init__(self, ids: DataFrame, column: str, count: int):
+        size = 1 << 10
+        while size * 4 < count and size < self.MOST_WORDS:
+            size *= 2
+
+        def words(batches):
+            for batch in batches:
+                at, bit = IdFilter._place(np.asarray(batch.column(0), np.int64), size)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array((np.uint64(1) << bit).view(np.int64))], ["word", "bits"])
+
+        from pyspark.sql import functions as F
+
+        self.bits = np.zeros(size, np.uint64)
+        for at, value in ids.select(F.col(column).cast("long").alias("id")).where("id is not null").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+            self.bits[at] = np.int64(value).view(np.uint64)
+
+    @staticmethod
+    def _place(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        h = mixed(ids.view(np.uint64) + np.uint64(1))
+        return (h >> np.uint64(32)).astype(np.int64) % size, h & np.uint64(63)
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        at, bit = self._place(ids, len(self.bits))
+        return (self.bits[at] >> bit & np.uint64(1)).astype(bool)
+
+
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of a column of texts: first and past-the-end byte, row, and a 64-bit hash each."""
 

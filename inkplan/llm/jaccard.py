@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, mixed, pieces, scratch, shingles, stored
+from .common import IdFilter, Words, discard, mixed, pieces, scratch, shingles, stored
 
 #: Counters of the frequency sketch: 4 MB, whatever the input's size.
 SKETCH_BITS = 20
@@ -107,17 +107,18 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
     return docs.mapInArrow(prefixes, "doc_id long, n long, set_a long, set_b long, l int, head array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """The whole sorted set of each document, as little-endian 64-bit hashes."""
+def _sets(docs: DataFrame, k: int, wanted: IdFilter) -> DataFrame:
+    """The whole sorted sets of the wanted documents (and a few more), as little-endian 64-bit hashes."""
 
     def sets(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.holds(np.asarray(batch.column("doc_id"), np.int64))))
             for piece in pieces(batch, "text"):
                 h, row = shingles(Words(piece.column("text")), k)
                 first = np.searchsorted(row, np.arange(len(piece) + 1))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([np.unique(h[first[i] : first[i + 1]]).tobytes() for i in range(len(piece))], pa.binary())], ["doc_id", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, hashes binary")
+    return docs.where("doc_id is not null").mapInArrow(sets, "doc_id long, hashes binary").groupBy("doc_id").agg(F.min("hashes").alias("hashes"))
 
 
 def _verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -146,16 +147,17 @@ def jaccard_links(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = _sketch(docs, k)
     heads = stored(_prefixes(docs, k, num, den, sketch), f"{base}/heads")
-    names = heads.where("n > 0 and doc_id is not null").groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    members = heads.select("doc_id", "n", "set_a", "set_b").join(names, ["n", "set_a", "set_b"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    # equal sets become one row; their copies are merged before anything is shuffled
+    names = stored(
+        heads.where("n > 0 and doc_id is not null").groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("l").alias("l"), F.first("head").alias("head")),
+        f"{base}/names",
+    )
+    members = heads.select("doc_id", "n", "set_a", "set_b").join(names.select("n", "set_a", "set_b", "rep"), ["n", "set_a", "set_b"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     members = stored(members, f"{base}/members")
-    reps = members.where("doc_id = rep").select("rep").distinct()
-    tokens = (
-        heads.join(reps, heads.doc_id == reps.rep, "left_semi")
-        .dropDuplicates(["doc_id", "n", "set_a", "set_b"])
-        .select("doc_id", "n", "l", F.posexplode("head").alias("place", "token"))
+    tokens = names.select(F.col("rep").alias("doc_id"), "n", "l", F.posexplode("head").alias("place", "token")).withColumn(
         # the least l whose prefix holds this place
-        .withColumn("level", F.greatest(F.lit(1), F.expr(f"cast(place + 1 - (n - (({num} * n + {den - 1}) div {den})) as int)")))
+        "level",
+        F.greatest(F.lit(1), F.expr(f"cast(place + 1 - (n - (({num} * n + {den - 1}) div {den})) as int)")),
     )
     x, y = tokens.alias("x"), tokens.alias("y")
     # misses that a pair of these sizes may have at most: n + n' - 2 ceil(t (n + n') / (1 + t))
@@ -174,11 +176,11 @@ def jaccard_links(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10)
         .select("a", "b")
     )
     pairs = stored(pairs, f"{base}/pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), f"{base}/sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = _sets(docs, k, IdFilter(wanted, "doc_id", wanted.count()))
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
     links = stored(_verified(full, num, den), f"{base}/links")
-    for name in ("heads", "pairs", "sets"):
+    for name in ("heads", "names", "pairs"):
         discard(spark, f"{base}/{name}")
     return members, links
 
@@ -187,7 +189,8 @@ def jaccard_classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 1
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
     Null or empty text: n_shingles 0, its own component. Null doc_id: component_id null. Rows that repeat a doc_id are
-    one node, so they share a component. Texts are used whole; case is folded for A-Z only.
+    one node and share a component; where their texts differ, one of them stands for the node. Texts are used whole; case
+    is folded for A-Z only.
     """
     from .components import components
 
