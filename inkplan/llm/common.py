@@ -18,6 +18,8 @@ _POWER = np.uint64(0x5851F42D4C957F2D)
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 
@@ -144,14 +146,17 @@ class IdFilter:
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of a column of texts: first and past-the-end byte, row, and a 64-bit hash each."""
+    """The words of a column of texts: first and past-the-end byte, row, and a 64-bit hash each.
 
-    def __init__(self, texts: pa.Array, fold: bool = True):
+    Words are `[^\\x20\\x09-\\x0D]+`, or what lies between bytes of another table of separators; fold takes A-Z as a-z.
+    """
+
+    def __init__(self, texts: pa.Array, fold: bool = True, separators: np.ndarray = _WHITE):
         raw, self.offsets = text_bytes(texts)
         n = len(texts)
         if fold:
             raw = _FOLD[raw]
-        solid = ~_WHITE[raw]
+        solid = ~separators[raw]
         head, tail = np.ones(len(raw), bool), np.ones(len(raw), bool)
         head[1:] = ~solid[:-1]
         tail[:-1] = ~solid[1:]
