@@ -197,3 +197,13 @@ def jaccard_classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 1
     members, links = jaccard_links(documents, k, num, den)
     joined = members.join(components(links), members.rep == F.col("node"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The documents, with all their columns, without those that link to one of a smaller doc_id.
+
+    Of rows that repeat doc_id and text one stays; rows with a null doc_id stay.
+    """
+    gone = jaccard_classes(documents.select("doc_id", "text"), k, num, den).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = stored(gone, scratch(documents.sparkSession, "copies"))
+    return documents.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*documents.columns)

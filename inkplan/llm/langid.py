@@ -224,3 +224,15 @@ def language_id(documents: DataFrame) -> DataFrame:
     """Fits on the documents that are not held out and predicts all: doc_id, held_out, lang_pred, score."""
     model = fit(documents.select("doc_id", "text", "lang").where(~held_out()))
     return identify(documents, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def in_a_language(documents: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
+    """The documents, with all their columns, of which a language is known and holds at least that share of the letters."""
+
+    def keep(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text", 4 << 20):
+                label, score, _ = model.predict(piece.column("text").to_pylist())
+                yield piece.filter(pa.array((np.array(label, object) != "und") & (score >= least)))
+
+    return documents.mapInArrow(keep, documents.schema)

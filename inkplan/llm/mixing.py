@@ -102,16 +102,29 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     return take
 
 
+def row_hash(seed: int = 0) -> F.Column:
+    """What orders and names the rows: equal only for rows of the same doc_id, source and text."""
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+
+
+def mixture(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 0) -> DataFrame:
+    """The mix itself: the documents with all their columns, each row as often as mix() takes it."""
+    copies = mix(documents, weights, seed).groupBy("doc_id", "h").agg(F.sum("copies").alias("__copies")).where("__copies > 0").withColumnsRenamed({"doc_id": "__doc_id", "h": "__h"})
+    rows = documents.withColumn("__own", row_hash(seed)).dropDuplicates(["doc_id", "__own"])
+    rows = rows.join(copies, (F.col("__own") == F.col("__h")) & documents["doc_id"].eqNullSafe(F.col("__doc_id")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*(rows[c] for c in documents.columns))
+
+
 def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (= size * copies) of every row.
+    """doc_id, h (row_hash), source, size, source_size, target, copies, taken (= size * copies) of every row.
 
     Null text: size 0, never taken. Null source: a source of its own, last. Ties between documents go by a seeded hash
-    of doc_id and source; rows that repeat in all of these are interchangeable. An empty table gives no rows.
+    of doc_id, source and text; rows that repeat in all of these are interchangeable. An empty table gives no rows.
     """
     spark = documents.sparkSession
     base = scratch(spark, "mix")
     docs = stored(
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source").alias("h")),
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), row_hash(seed).alias("h")),
         f"{base}/sizes",
     )
     wanted = stored(targets(docs, weights), f"{base}/targets")
@@ -139,9 +152,9 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int
     )
     # only the bucket in which the last extra copy falls has to be ranked
     edge = before.alias("x").join(fitted.alias("f"), F.expr("x.source <=> f.source and x.size = f.size")).select("x.source", "x.size", "x.b", (F.col("extra") - F.col("before")).alias("room"), "x.n", "whole")
-    joined = cell.alias("c").join(edge.alias("e"), F.expr("c.source <=> e.source and c.size = e.size and c.b = e.b")).select("c.doc_id", "c.source", "c.size", "h", "c.b", "room", "n", "whole")
-    clear = joined.where("room <= 0 or room >= n").select("doc_id", "source", "size", (F.col("whole") + (F.col("room") > 0).cast("long")).alias("copies"))
+    joined = cell.alias("c").join(edge.alias("e"), F.expr("c.source <=> e.source and c.size = e.size and c.b = e.b")).select("c.doc_id", "c.source", "c.size", "c.h", "c.b", "room", "n", "whole")
+    clear = joined.where("room <= 0 or room >= n").select("doc_id", "h", "source", "size", (F.col("whole") + (F.col("room") > 0).cast("long")).alias("copies"))
     ranked = joined.where("room > 0 and room < n").withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "b").orderBy("h", "doc_id")))
-    parts = clear.unionByName(ranked.select("doc_id", "source", "size", (F.col("whole") + (F.col("rank") <= F.col("room")).cast("long")).alias("copies")))
-    parts = parts.unionByName(docs.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copies")))
-    return parts.alias("p").join(wanted.alias("w"), F.expr("p.source <=> w.source")).select("doc_id", "p.source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    parts = clear.unionByName(ranked.select("doc_id", "h", "source", "size", (F.col("whole") + (F.col("rank") <= F.col("room")).cast("long")).alias("copies")))
+    parts = parts.unionByName(docs.where("size = 0").select("doc_id", "h", "source", "size", F.lit(0).cast("long").alias("copies")))
+    return parts.alias("p").join(wanted.alias("w"), F.expr("p.source <=> w.source")).select("doc_id", "h", "p.source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
