@@ -63,7 +63,7 @@ def put_file(uri: str, data: bytes) -> None:
 
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(part := f"{path}.{uuid.uuid4().hex}") as out:
+    with store.open_output_stream(part := f"{path}.{uuid.uuid4().hex}", compression=None) as out:
         out.write(data)
     store.move(part, path)
 
@@ -72,7 +72,7 @@ def get_file(uri: str) -> bytes:
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(path) as source:
+    with store.open_input_stream(path, compression=None) as source:
         return source.read()
 
 

@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -24,6 +30,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import overlaps
 
@@ -46,8 +58,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_near_dedup": op1_embedding_near_dedup,
         "op4_mix_sources": op4_mix_sources,
         "op5_jaccard_join": op5_jaccard_join,
+        "op7_warc": op7_warc,
         "op8_decontaminate": op8_decontaminate,
         "op9_token_output": op9_token_output,
         "op10_language_id": op10_language_id,
