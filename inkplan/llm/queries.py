@@ -18,6 +18,35 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+_OP2_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, pos, lines[pos + 1] || chr(10) || lines[pos + 2] || chr(10) || lines[pos + 3] AS x
+      FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM d WHERE len(lines) >= 3)
+      WHERE trim(lines[pos + 1] || lines[pos + 2] || lines[pos + 3]) <> ''),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY x ORDER BY doc_id, pos) AS n FROM w),
+gone AS (SELECT DISTINCT doc_id, pos + k AS line FROM r, (SELECT unnest(range(0, 3)) AS k) WHERE n > 1),
+l AS (SELECT doc_id, i, lines[i + 1] AS line FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM d)),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text, count(*) AS n FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.line = l.i WHERE gone.line IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(d.lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(d.lines), 0) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_conversations
+
+    extra = spark.sql(r"""SELECT -7L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)""")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return digests(format_conversations(rows))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -30,6 +59,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import labelled_findings, scan, train
+
+    return scan(_table(spark, sf_dir, "documents"), train(labelled_findings(spark)))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -59,8 +94,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
+        "op2_line_dedup": op2_line_dedup,
+        "op3_chat_format": op3_chat_format,
         "op4_mix_sources": op4_mix_sources,
         "op5_jaccard_join": op5_jaccard_join,
+        "op6_secret_scan": op6_secret_scan,
         "op7_warc": op7_warc,
         "op8_decontaminate": op8_decontaminate,
         "op9_token_output": op9_token_output,
@@ -69,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": _OP2_SQL}
