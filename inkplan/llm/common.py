@@ -111,6 +111,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes reaches by the links a - b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 class IdFilter:
     """A set of longs that may hold some more: 64-bit words, about 16 bits an id, 8 MB at most whatever the ids' number.
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import least_reached, scratch, stored
 
 #: Vectors of a tile.
 TILE = 512
@@ -152,20 +152,6 @@ def compare(x: np.ndarray, y: np.ndarray, given_x: np.ndarray, given_y: np.ndarr
     return i[good], j[good]
 
 
-def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node that each of n nodes reaches by the links a - b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _linked(pairs: DataFrame, threshold: float) -> DataFrame:
     """node, n (vectors linked with it), other (a node of the same component), over all tile pairs."""
 
@@ -187,7 +173,7 @@ def _linked(pairs: DataFrame, threshold: float) -> DataFrame:
                 names, at = np.unique(np.concatenate([nodes[0][a], nodes[1][b]]), return_inverse=True)
                 at = at.reshape(2, -1)
                 n = np.bincount(at[0], copies[1][b], len(names)) + np.bincount(at[1], copies[0][a], len(names))
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64)), pa.array(names[_least(len(names), *at)])], ["node", "n", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64)), pa.array(names[least_reached(len(names), *at)])], ["node", "n", "other"])
 
     return pairs.mapInArrow(run, "node long, n long, other long")
 

@@ -3,28 +3,39 @@
 A document is the set of its distinct k-word shingles. All sets are ordered alike: by a fixed-size sketch of how often
 each shingle occurs over all documents, rare ones first, then by hash. Two sets of similarity t or more share at least
 l shingles among their first n - ceil(t n) + l ones, for every l. Each document picks its own l: the one for which the
-estimated cost of its candidates (sketch counts of the prefix, divided by l for the matches then required) is least.
+estimated cost of its candidates (postings of the prefix by the sketch, and the sets that those left by l matches have
+to read) is least.
 A pair is held to the smaller l of the two, so both prefixes hold what that l needs, and candidates are verified exactly.
 
-Equal sets are one node throughout, so thousands of copies cost as much as one document.
+Equal sets are one node throughout, so thousands of copies cost as much as one document. Shingles in the
+prefixes of many sets (large groups of near-copies, or documents made of common passages) would pair all of them up.
+Those with one in the prefix for l = 1 go to tiles instead, and two tiles are compared by one product of incidence matrices, which returns a
+spanning set of the links and no pairs. This loses nothing: a pair shares at least one shingle of the prefixes for l = 1,
+either such a common one, and then it meets in a tile, or another, and then it is joined; there it has to share l
+shingles less those common ones that the join leaves out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Words, discard, mixed, pieces, scratch, shingles, stored
+from .common import IdFilter, Words, discard, least_reached, mixed, pieces, scratch, shingles, stored
 
 #: Counters of the frequency sketch: 4 MB, whatever the input's size.
 SKETCH_BITS = 20
 _SLICES = 16
 #: Largest number of matches that a document may ask for.
-MOST_MATCHES = 8
-#: Cost of verifying a candidate, in posting rows.
-VERIFY_COST = 20.0
+MOST_MATCHES = 16
+#: Sets with the same shingle in their prefixes, from which on they are compared in tiles.
+COMMON = 64
+#: Sets of a tile, and bytes of it.
+TILE, TILE_BYTES = 1024, 8 << 20
+#: Other documents that are expected at a shingle whose count doesn't stand out from the sketch's noise.
+UNSEEN = 0.5
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -91,9 +102,10 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
                     names.append((int(m.sum(dtype=np.uint64).view(np.int64)), int(mixed(m).sum(dtype=np.uint64).view(np.int64))))
                     base = n - -(-num * n // den)
                     most = min(MOST_MATCHES, n - base)
-                    cost = np.cumsum(costs[a + at[: base + most]])[base:]
+                    # postings read, and candidates left (fewer with the square of the matches asked for) that each read a set
+                    postings = np.cumsum(costs[a + at[: base + most]] + UNSEEN)[base:]
                     asked = np.arange(1, most + 1)
-                    pick = int(np.argmin(cost + VERIFY_COST * cost / asked + asked)) + 1
+                    pick = int(np.argmin(asked + postings + n / 2 * postings / asked**2)) + 1
                     wanted.append(pick)
                     heads.append(own[: base + pick].view(np.int64))
                 lengths = np.array([len(x) for x in heads], np.int64)
@@ -135,12 +147,103 @@ def _verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(verify, "a long, b long")
 
 
-def jaccard_links(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Documents with their sets, and every link between different sets of similarity num / den or more.
+def _postings(names: DataFrame, kept: IdFilter) -> DataFrame:
+    """token, doc_id, n, l, place of the prefix shingles that the filter holds."""
+
+    def run(batches):
+        for batch in batches:
+            heads = batch.column("head")
+            token = np.asarray(heads.flatten(), np.int64)
+            lengths = np.asarray(pa.compute.list_value_length(heads), np.int64)
+            row = np.repeat(np.arange(len(batch)), lengths)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            hit = kept.holds(token)
+            own = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(token[hit]), *(batch.column(c).take(own) for c in ("rep", "n", "l")), pa.array(place[hit])], ["token", "doc_id", "n", "l", "place"])
+
+    return names.select("rep", "n", "l", "head").mapInArrow(run, "token long, doc_id long, n long, l int, place long")
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """rows: token, n, doc_id, hashes. Tiles of one token and neighbouring sizes: tile, token, low, high (sizes), docs, sizes, hashes."""
+
+    def cut(batches):
+        part, count, key, held, size = TaskContext.get().partitionId(), 0, None, [], 0
+
+        def close():
+            nonlocal count, held, size
+            sizes = np.array([h[1] for h in held], np.int64)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([x], pa.int64()) for x in (part << 32 | count, key, int(sizes.min()), int(sizes.max()))] + [pa.array([x], pa.binary()) for x in (np.array([h[0] for h in held], np.int64).tobytes(), sizes.tobytes(), b"".join(h[2] for h in held))],
+                ["tile", "token", "low", "high", "docs", "sizes", "hashes"],
+            )
+            count, held, size = count + 1, [], 0
+            return out
+
+        for batch in batches:
+            for token, n, doc, hashes in zip(*(batch.column(c).to_pylist() for c in ("token", "n", "doc_id", "hashes")), strict=True):
+                if held and (token != key or len(held) == TILE or size + len(hashes) > TILE_BYTES):
+                    yield close()
+                key, size = token, size + len(hashes)
+                held.append((doc, n, hashes))
+        if held:
+            yield close()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["token", "n", "doc_id"]
+    return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(cut, "tile long, token long, low long, high long, docs binary, sizes binary, hashes binary")
+
+
+def shared_counts(sizes: list[np.ndarray], hashes: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of one tile has in common with each set of the other."""
+    names = np.unique(hashes[0])
+    names = names[np.isin(names, hashes[1])]
+    total = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+    at, row = [], []
+    for n, h in zip(sizes, hashes, strict=True):
+        i = np.searchsorted(names, h)
+        i[i == len(names)] = 0
+        hit = names[i] == h if len(names) else np.zeros(len(h), bool)
+        at.append(i[hit])
+        row.append(np.repeat(np.arange(len(n)), n)[hit])
+    for a in range(0, len(names), 4096):
+        matrix = []
+        for i, r, n in zip(at, row, sizes, strict=True):
+            own = (i >= a) & (i < a + 4096)
+            m = np.zeros((len(n), min(4096, len(names) - a)), np.float32)
+            m[r[own], i[own] - a] = 1
+            matrix.append(m)
+        total += matrix[0] @ matrix[1].T
+    return total
+
+
+def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Spanning links of each pair of tiles."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                read = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: B023, E731
+                docs, sizes, hashes = [[read(f"{c}{k}", kind) for k in (1, 2)] for c, kind in (("docs", np.int64), ("sizes", np.int64), ("hashes", np.uint64))]
+                both = shared_counts(sizes, hashes).astype(np.int64)
+                a, b = np.nonzero(den * both >= num * (sizes[0][:, None] + sizes[1][None, :] - both))
+                a, b = docs[0][a], docs[1][b]
+                a, b = a[a != b], b[a != b]
+                if len(a):
+                    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    low = names[least_reached(len(names), *at.reshape(2, -1))]
+                    other = names != low
+                    yield pa.RecordBatch.from_arrays([pa.array(low[other]), pa.array(names[other])], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def jaccard_links(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    """Documents with their sets, and links that connect all sets which links of similarity num / den or more connect.
 
     documents: doc_id long and text, other columns ignored. Returns (members, links). members: doc_id, n, rep - the
-    smallest doc_id with the same set (null where the set is empty or doc_id is null). links: (a, b), representatives
-    with a < b, each linked pair of different sets once.
+    smallest doc_id with the same set (null where the set is empty or doc_id is null). links: (a, b), representatives;
+    every linked pair, but for groups around a common shingle, of which a spanning set is given.
     """
     spark = documents.sparkSession
     base = scratch(spark, "jaccard")
@@ -154,38 +257,65 @@ def jaccard_links(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     )
     members = heads.select("doc_id", "n", "set_a", "set_b").join(names.select("n", "set_a", "set_b", "rep"), ["n", "set_a", "set_b"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     members = stored(members, f"{base}/members")
-    tokens = names.select(F.col("rep").alias("doc_id"), "n", "l", F.posexplode("head").alias("place", "token")).withColumn(
-        # the least l whose prefix holds this place
-        "level",
-        F.greatest(F.lit(1), F.expr(f"cast(place + 1 - (n - (({num} * n + {den - 1}) div {den})) as int)")),
-    )
+    first = f"n - (({num} * n + {den - 1}) div {den})"
+    counted = stored(names.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), f"{base}/counted")
+    often = stored(counted.where(F.col("n") >= common).select("token"), f"{base}/often")
+    crowded = stored(_postings(names, IdFilter(often, "token", often.count())).join(often, "token").selectExpr("doc_id", "n", "token", f"place <= {first} as leads"), f"{base}/crowded")
+    left_out = crowded.groupBy("doc_id").agg(F.count("*").alias("out"))
+    # shingles in one prefix alone match nothing: most rows go before the shuffle
+    shared = counted.where(F.col("n") < common)
+    tokens = _postings(names, IdFilter(shared, "token", shared.count())).join(often, "token", "left_anti")
+    tokens = tokens.select("token", "doc_id", "n", (F.col("place") * 32 + F.col("l")).alias("at"))
     x, y = tokens.alias("x"), tokens.alias("y")
     # misses that a pair of these sizes may have at most: n + n' - 2 ceil(t (n + n') / (1 + t))
     spare = f"(x.n + y.n - 2 * (({num} * (x.n + y.n) + {num + den - 1}) div {num + den}))"
+    place = lambda r: f"shiftright({r}.at, 5)"
+    asked = "least(x.at & 31, y.at & 31)"
+    # the least l whose prefix holds a place
+    level = lambda r: f"({place(r)} + 1 - ({first.replace('n ', f'{r}.n ').replace(' n', f' {r}.n')}))"
     pairs = (
         x.join(
             y,
             F.expr(
                 f"x.token = y.token and x.doc_id < y.doc_id and {num} * x.n <= {den} * y.n and {num} * y.n <= {den} * x.n"
-                f" and greatest(x.level, y.level) <= least(x.l, y.l) and x.place + y.place + 2 <= {spare} + 2 * least(x.l, y.l)"
+                f" and greatest({level('x')}, {level('y')}) <= {asked} and {place('x')} + {place('y')} + 2 <= {spare} + 2 * {asked}"
             ),
         )
         .groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .agg(F.count("*").alias("shared"), F.min(F.least("x.l", "y.l")).alias("asked"))
-        .where("shared >= asked")
-        .select("a", "b")
+        .agg(F.sort_array(F.collect_list(F.expr(f"{place('x')} + {place('y')}"))).alias("places"), F.min(F.expr(asked)).alias("asked"), F.min(F.expr(spare)).alias("spare"))
     )
-    pairs = stored(pairs, f"{base}/pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(left_out.select(F.col("doc_id").alias(side), F.col("out").alias(f"out_{side}")), side, "left")
+    pairs = pairs.withColumn("out", F.least(F.coalesce("out_a", F.lit(0)), F.coalesce("out_b", F.lit(0))))
+    # before its k-th common shingle a linked pair has passed no more other ones than it may miss
+    pairs = pairs.where("size(places) >= asked - out and forall(transform(places, (p, i) -> p - 2 * i), m -> m <= spare + 2 * out)").select("a", "b")
+    # pairs that meet in a tile are compared there
+    met = crowded.where("leads").groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
+    in_tile = F.coalesce(F.arrays_overlap("ta", "tb"), F.lit(False))
+    for side in ("a", "b"):
+        pairs = pairs.join(met.select(F.col("doc_id").alias(side), F.col("tokens").alias(f"t{side}")), side, "left")
+    pairs = stored(pairs.where(~in_tile).select("a", "b"), f"{base}/pairs")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded.where("leads").select("doc_id")).distinct(), f"{base}/wanted")
     sets = _sets(docs, k, IdFilter(wanted, "doc_id", wanted.count()))
+    if not often.isEmpty():
+        sets = stored(sets, f"{base}/sets")
+        tiles = stored(_tiles(crowded.where("leads").join(sets, "doc_id").select("token", "n", "doc_id", "hashes")), f"{base}/tiles")
+        held = lambda i: tiles.select(*(F.col(c).alias(f"{c}{i}") for c in ("tile", "docs", "sizes", "hashes")))
+        p, q = tiles.select("tile", "token", "low", "high").alias("p"), tiles.select("tile", "token", "low", "high").alias("q")
+        met = p.join(q, F.expr(f"p.token = q.token and p.tile <= q.tile and {num} * p.low <= {den} * q.high and {num} * q.low <= {den} * p.high"))
+        met = stored(met.select(F.col("p.tile").alias("tile1"), F.col("q.tile").alias("tile2")), f"{base}/met")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spans = stored(_linked(met.join(held(1), "tile1").join(held(2), "tile2").repartition(parts), num, den).distinct(), f"{base}/spans")
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
     links = stored(_verified(full, num, den), f"{base}/links")
-    for name in ("heads", "names", "pairs"):
+    if not often.isEmpty():
+        links = links.unionByName(spans)
+    for name in ("heads", "names", "pairs", "counted", "often", "crowded", "wanted", "sets", "tiles", "met"):
         discard(spark, f"{base}/{name}")
     return members, links
 
 
-def jaccard_classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+def jaccard_classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, common: int = COMMON) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
     Null or empty text: n_shingles 0, its own component. Null doc_id: component_id null. Rows that repeat a doc_id are
@@ -194,7 +324,7 @@ def jaccard_classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 1
     """
     from .components import components
 
-    members, links = jaccard_links(documents, k, num, den)
+    members, links = jaccard_links(documents, k, num, den, common)
     joined = members.join(components(links), members.rep == F.col("node"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
