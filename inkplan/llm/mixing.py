@@ -1,16 +1,13 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Every source takes its documents whole as often as its target allows, and the rest of its budget is a subset of its
-documents. Documents are counted by exact length; the subset takes the same part of each length, is topped up in a
-seeded order, and the last stretch of the budget is fitted by bounded-knapsack dynamic programming over the lengths
-that remain. Which documents of a length are meant is settled by a seeded hash. Only counts by length, never documents,
-meet in one task.
+Documents are counted by exact length, each as often as it may be copied. A source's budget takes the same part of every
+length, is topped up in a seeded order, and its last stretch is fitted by bounded-knapsack dynamic programming over the
+lengths that remain. Copies of a length are dealt evenly over its documents, one more for those that a seeded hash puts
+first. Only counts by length, never documents, meet in one task.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,6 +17,8 @@ from .common import scratch, stored
 
 #: Words of budget that the dynamic program fits, at most.
 FIT_WORDS = 1 << 16
+#: Words beyond the budget that a sum may reach, if that is nearer.
+OVER_WORDS = 1 << 12
 #: Copies of a document at most.
 MOST_COPIES = 3
 
@@ -53,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0) -> np.ndarray:
-    """How many documents of each length to take so that their sum comes nearest to budget from below.
+    """How many documents of each length to take so that their sum comes nearest to budget; of two equally near, the smaller.
 
     lengths: distinct, positive, with counts documents each.
     """
@@ -72,18 +71,15 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     # free some of what was taken, so that the dynamic program has lengths to choose from; then fit what is left
     goal = min(FIT_WORDS, max(8192, 8 * int(lengths[order[0]])))
     for i in order:
-        if left >= goal:
-            break
-        if take[i] and left + lengths[i] <= FIT_WORDS:
+        while take[i] and left < goal and left + lengths[i] <= FIT_WORDS:
             take[i] -= 1
             left += int(lengths[i])
-    spare = counts - take
-    usable = [i for i in np.argsort(lengths, kind="stable") if spare[i] and lengths[i] <= left]
+    most = left + OVER_WORDS
     reach, steps = 1, []
-    window = (1 << (left + 1)) - 1
-    for i in usable:
+    window = (1 << (most + 1)) - 1
+    for i in np.argsort(lengths, kind="stable"):
         # powers of two and a rest cover every number up to the bound
-        bound, size = min(int(spare[i]), left // int(lengths[i])), 1
+        bound, size = min(int(counts[i] - take[i]), most // int(lengths[i])), 1
         while bound:
             size = min(size, bound)
             grown = (reach | reach << (size * int(lengths[i]))) & window
@@ -94,7 +90,9 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
             size *= 2
         if reach >> left & 1:
             break
-    at = reach.bit_length() - 1
+    at, beyond = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1, reach >> (left + 1)
+    if beyond and (above := left + (beyond & -beyond).bit_length()) - left < left - at:
+        at = above
     for i, size, before in reversed(steps):
         if not before >> at & 1:
             take[i] += size
@@ -132,10 +130,10 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size")
-        target, total = float(rows["target"].iloc[0]), int(rows["source_size"].iloc[0])
-        whole = min(MOST_COPIES, math.floor(target / total))
-        rest = 0 if whole >= MOST_COPIES else round(target - whole * total)
-        rows["whole"], rows["extra"] = whole, fit_counts(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rest, seed)
+        # a document stands for as many as it may be copied
+        n = rows["n"].to_numpy(np.int64)
+        copies = fit_counts(rows["size"].to_numpy(np.int64), n * MOST_COPIES, round(float(rows["target"].iloc[0])), seed)
+        rows["whole"], rows["extra"] = copies // n, copies % n
         return rows[["source", "size", "whole", "extra"]]
 
     fitted = stored(

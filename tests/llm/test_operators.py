@@ -193,7 +193,7 @@ def test_fit(seed):
     for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
         reach = {r + k * n for r in reach for k in range(c + 1)}
     assert (take >= 0).all() and (take <= counts).all()
-    assert int((take * lengths).sum()) == max(r for r in reach if r <= budget)
+    assert int((take * lengths).sum()) == min(reach, key=lambda r: (abs(r - budget), r))
 
 
 # --- 5 ----------------------------------------------------------------------------------------------------------------
