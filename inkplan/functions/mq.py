@@ -39,11 +39,11 @@ def encode(contexts: np.ndarray, bits: np.ndarray) -> bytes:
     out = bytearray(1)
     a, c, left = 0x8000, 0, 12
     if len(contexts):
-        key = np.asarray(contexts, np.int64) * 2 + np.asarray(bits, np.int64)
+        key = np.asarray(contexts).astype(np.uint32) << 1 | np.asarray(bits).astype(np.uint32)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        names, compact = np.unique(key[starts] >> 1, return_inverse=True)
-        state = bytearray(len(names))
-        runs = zip(compact.tolist(), (key[starts] & 1).tolist(), np.diff(np.append(starts, len(key))).tolist(), strict=True)
+        first = key[starts]
+        state = bytearray((int(first.max()) >> 1) + 1)
+        runs = zip((first >> 1).tolist(), (first & 1).tolist(), np.diff(np.append(starts, len(key))).tolist(), strict=True)
     else:
         state, runs = bytearray(), ()
     q_of, likely_next, other_next = _Q, _AFTER_LIKELY, _AFTER_OTHER
