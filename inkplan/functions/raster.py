@@ -28,6 +28,14 @@ def gray(pixels: bytes, width: int, height: int, stride: int, layout: str, how:
     return level.astype(np.uint8)
 
 
+def straight(pixels: bytes) -> bytes:
+    """Four-channel pixels whose colors were multiplied by their alpha, divided by it again, rounded; alpha 0 gives 0."""
+    cell = np.frombuffer(pixels, np.uint8).reshape(-1, 4).astype(np.int64)
+    alpha = cell[:, 3:]
+    color = np.where(alpha > 0, np.minimum(255, (cell[:, :3] * 255 + alpha // 2) // np.maximum(alpha, 1)), 0)
+    return np.concatenate([color, alpha], axis=1).astype(np.uint8).tobytes()
+
+
 def _spread(mask: np.ndarray, reach: int) -> np.ndarray:
     for axis in (0, 1):
         wide = np.pad(mask, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)])

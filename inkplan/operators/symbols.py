@@ -81,3 +81,34 @@ def lower_left(instances: DataFrame) -> DataFrame:
 def shift_between(a: str, b: str):
     """Rounded difference of two single-precision centroids."""
     return scalar.round_away(F.col(a) - F.col(b))
+
+
+def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs (a, b, dx, dy, anything else) with both: ink of bitmap a that bitmap b, moved by (dx, dy), shares.
+
+    rows: key, y, word - bitmaps of up to 32 columns. Equi-joins on bitmap and row alone; counts are merged before the shuffle.
+    """
+    left = rows.select(F.col("key").alias("a"), "y", F.col("word").alias("p"))
+    right = rows.select(F.col("key").alias("b"), F.col("y").alias("yb"), F.col("word").alias("q"))
+    dx = F.col("dx").cast("int")
+    shifted = F.when(dx >= 0, F.call_function("shiftright", "q", F.greatest(dx, F.lit(0)))).otherwise(F.call_function("shiftleft", "q", F.greatest(-dx, F.lit(0))).bitwiseAND(F.lit(0xFFFFFFFF)))
+    met = pairs.join(left, "a").withColumn("yb", F.col("y") - F.col("dy")).join(right, ["b", "yb"])
+    count = met.groupBy(*pairs.columns).agg(F.sum(F.bit_count(F.col("p").bitwiseAND(shifted)).cast("long")).alias("both"))
+    return pairs.join(count, pairs.columns, "left").withColumn("both", F.coalesce("both", F.lit(0).cast("long")))
+
+
+def correlated(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """overlaps() with both inks and match: whether both ** 2 reaches threshold (single precision) times the product of the inks."""
+    ink = rows.groupBy("key").agg(F.sum(F.bit_count("word").cast("long")).alias("ink"))
+    found = overlaps(pairs, rows).join(ink.select(F.col("key").alias("a"), F.col("ink").alias("ink_a")), "a").join(ink.select(F.col("key").alias("b"), F.col("ink").alias("ink_b")), "b")
+    need = F.ceil(F.sqrt(F.lit(threshold).cast("float").cast("double") * F.col("ink_a") * F.col("ink_b"))).cast("long")
+    return found.withColumn("match", F.col("both") >= need)
+
+
+def refined(pairs: DataFrame, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """a, b, dx, dy: the move by at most a pixel under which the two differ least; the first of equals, rows from above."""
+    steps = F.explode(F.array(*(F.struct(F.lit(3 * (y + 1) + x + 1).alias("rank"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for y in (-1, 0, 1) for x in (-1, 0, 1))))
+    moved = pairs.select("a", "b", steps.alias("s")).select("a", "b", "s.dx", "s.dy", "s.rank")
+    found = correlated(moved, rows, threshold).withColumn("differs", F.col("ink_a") + F.col("ink_b") - 2 * F.col("both"))
+    best = F.min(F.struct("differs", "rank", "dx", "dy"))
+    return found.groupBy("a", "b").agg(best.alias("m")).select("a", "b", "m.dx", "m.dy", "m.differs")

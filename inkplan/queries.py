@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkplan.functions import scalar, segments
@@ -370,6 +370,37 @@ def placement_shift(spark, sf_dir):
     return center.join(other, ["page_no", "x"]).select("page_no", "x", sym.shift_between("c", "d").alias("shift"))
 
 
+_EV = "ev AS (SELECT event_id AS key, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events), bits AS (SELECT event_id AS key, x, y FROM events, (SELECT unnest(range(0, 8)) AS x), (SELECT unnest(range(0, 8)) AS y) WHERE ((event_id * 2654435761::BIGINT + y * 40503::BIGINT + x * 2246822519::BIGINT) >> 7) & 1 = 1), ink AS (SELECT key, count(*) AS n FROM bits GROUP BY key)"
+
+
+def _event_bitmaps(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Each event with the one before it of the same user, and the events' pages as rows of 32-bit words."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    pairs = events.select(F.col("event_id").alias("a"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("b")).where("b is not null")
+    rows = events.select(F.col("event_id").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("y"))
+    bit = lambda x: F.shiftright(F.col("key") * 2654435761 + F.col("y") * 40503 + x * 2246822519, 7).bitwiseAND(F.lit(1))
+    return pairs, rows.withColumn("word", sum((bit(x) * (1 << (31 - x)) for x in range(8)), F.lit(0).cast("long")))
+
+
+@query("correlation_pairs", f"""+ {_EV}, o AS (SELECT ev.key AS a, ev.prev AS b, count(q.key) AS n FROM ev LEFT JOIN bits p ON p.key = ev.key LEFT JOIN bits q ON q.key = ev.prev AND q.x = p.x - 1 AND q.y = p.y WHERE ev.prev IS NOT NULL GROUP BY ev.key, ev.prev)
+SELECT a, b, o.n AS both, i.n AS ink_a, j.n AS ink_b, o.n >= ceil(sqrt(CAST(CAST(0.4 AS FLOAT) AS DOUBLE) * i.n * j.n)) AS match FROM o JOIN ink i ON i.key = a JOIN ink j ON j.key = b""", "codes")
+def correlation_pairs(spark, sf_dir):
+    pairs, rows = _event_bitmaps(spark, sf_dir)
+    return sym.correlated(pairs.withColumn("dx", F.lit(1)).withColumn("dy", F.lit(0)), rows, 0.4).select("a", "b", "both", "ink_a", "ink_b", "match")
+
+
+@query("placement_refined", f"""+ {_EV}, st AS (SELECT dx, dy, 3 * (dy + 1) + dx + 1 AS rank FROM (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
+o AS (SELECT ev.key AS a, ev.prev AS b, dx, dy, rank, count(q.key) AS n FROM ev CROSS JOIN st LEFT JOIN bits p ON p.key = ev.key LEFT JOIN bits q ON q.key = ev.prev AND q.x = p.x - dx AND q.y = p.y - dy WHERE ev.prev IS NOT NULL GROUP BY ev.key, ev.prev, dx, dy, rank),
+d AS (SELECT a, b, dx, dy, rank, i.n + j.n - 2 * o.n AS differs FROM o JOIN ink i ON i.key = a JOIN ink j ON j.key = b), m AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY differs, rank) AS r FROM d) SELECT a, b, dx, dy, differs FROM m WHERE r = 1""", "codes")
+def placement_refined(spark, sf_dir):
+    return sym.refined(*_event_bitmaps(spark, sf_dir))
+
+
+@query("gray_alpha", "SELECT vec_id, x, CAST(CASE WHEN a = 255 THEN gr ELSE (gr * a + 255 * (255 - a) + 127) // 255 END AS BIGINT) AS g FROM rgba", "rgba")
+def gray_alpha(spark, sf_dir):
+    return pixels.gray_of(fx.rgba(spark, sf_dir), "GrayAlpha16").select("vec_id", "x", "g")
+
+
 @query("log2up", "SELECT n, CAST(CASE WHEN n <= 1 THEN 0 ELSE length(bin(n - 1)) END AS BIGINT) AS bits FROM (SELECT unnest(range(0, 5000)) AS n)")
 def log2up(spark, sf_dir):
     return spark.range(5000).select(F.col("id").alias("n"), scalar.bits_for(F.col("id")).alias("bits"))

@@ -64,6 +64,10 @@ def test_layouts():
     assert raster.gray(px, 2, 1, 8, "Rgba32", "green")[0, 0] == 20
 
 
+def test_premultiplied():
+    assert raster.straight(bytes([50, 100, 128, 128, 9, 9, 9, 0, 1, 2, 3, 255])) == bytes([100, 199, 255, 128, 0, 0, 0, 0, 1, 2, 3, 255])
+
+
 def test_word_rows(spark):
     rng = np.random.default_rng(0)
     page = (rng.random((6, 45)) < 0.5).astype(np.uint8)
