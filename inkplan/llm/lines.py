@@ -7,10 +7,12 @@ places are shuffled to find them; a window's count and first place are merged be
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import IdFilter, scratch, stored
 
 WINDOW = 3
 
@@ -35,8 +37,18 @@ def dedup_lines(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     later = windows.join(first, ["h1", "h2"]).where(place > F.col("first")).select("doc_id", "row", "at").distinct()
     covered = stored(later.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("starts")), f"{base}/covered")
+    # documents that lose nothing are passed on as they are; only the others (and a few more) are joined, and their texts shuffled
+    held = IdFilter(covered, "row", covered.count())
+
+    @F.pandas_udf("boolean")
+    def touched(row: pd.Series) -> pd.Series:
+        return pd.Series(held.holds(row.to_numpy(np.int64)))
+
+    docs = docs.withColumn("touched", touched("row"))
     gone = covered.select(F.col("doc_id").alias("__doc_id"), F.col("row").alias("__row"), "starts")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__doc_id"]) & (docs["row"] == gone["__row"]), "left")
+    some = docs.where("touched")
+    joined = some.join(gone, some["doc_id"].eqNullSafe(gone["__doc_id"]) & (some["row"] == gone["__row"]), "left").select("doc_id", "text", "starts")
+    joined = joined.unionByName(docs.where("not touched").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts")))
     # starts that lie at most a window apart merge into one stretch
     merged = F.aggregate(
         F.coalesce("starts", F.array().cast("array<int>")),
