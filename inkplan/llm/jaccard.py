@@ -133,6 +133,39 @@ def _sets(docs: DataFrame, k: int, wanted: IdFilter) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(sets, "doc_id long, hashes binary").groupBy("doc_id").agg(F.min("hashes").alias("hashes"))
 
 
+def _signatures(docs: DataFrame, k: int, wanted: IdFilter) -> DataFrame:
+    """n, and the distinct top 16 bits of a set's hashes in order: a quarter of the set, enough to bound what two sets share."""
+
+    def signatures(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.holds(np.asarray(batch.column("doc_id"), np.int64))))
+            for piece in pieces(batch, "text"):
+                h, row = shingles(Words(piece.column("text")), k)
+                first = np.searchsorted(row, np.arange(len(piece) + 1))
+                own = [np.unique(h[first[i] : first[i + 1]]) for i in range(len(piece))]
+                short = pa.array([np.unique((x >> np.uint64(48)).astype(np.uint16)).tobytes() for x in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), short], ["doc_id", "n", "sig"])
+
+    return docs.where("doc_id is not null").mapInArrow(signatures, "doc_id long, n long, sig binary").groupBy("doc_id").agg(F.min(F.struct("n", "sig")).alias("s")).select("doc_id", "s.n", "s.sig")
+
+
+def _likely(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose signatures allow the similarity: equal hashes have equal top bits, and those that fell together are added back."""
+
+    def run(batches):
+        for batch in batches:
+            good = np.zeros(len(batch), bool)
+            sizes = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True)
+            for i, (m, n, x, y) in enumerate(sizes):
+                x, y = np.frombuffer(x.as_buffer(), np.uint16), np.frombuffer(y.as_buffer(), np.uint16)
+                both = np.sort(np.concatenate([x, y]))
+                most = int((both[1:] == both[:-1]).sum()) + min(m - len(x), n - len(y))
+                good[i] = den * most >= num * (m + n - most)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
     def verify(batches):
         for batch in batches:
@@ -294,7 +327,13 @@ def jaccard_links(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     in_tile = F.coalesce(F.arrays_overlap("ta", "tb"), F.lit(False))
     for side in ("a", "b"):
         pairs = pairs.join(met.select(F.col("doc_id").alias(side), F.col("tokens").alias(f"t{side}")), side, "left")
-    pairs = stored(pairs.where(~in_tile).select("a", "b"), f"{base}/pairs")
+    pairs = stored(pairs.where(~in_tile).select("a", "b"), f"{base}/candidates")
+    # most candidates fall on a quarter of what their sets weigh
+    either = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{base}/either")
+    short = _signatures(docs, k, IdFilter(either, "doc_id", either.count()))
+    for side in ("a", "b"):
+        pairs = pairs.join(short.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"s{side}")), side)
+    pairs = stored(_likely(pairs, num, den), f"{base}/pairs")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded.where("leads").select("doc_id")).distinct(), f"{base}/wanted")
     sets = _sets(docs, k, IdFilter(wanted, "doc_id", wanted.count()))
     if not often.isEmpty():
@@ -304,13 +343,12 @@ def jaccard_links(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10,
         p, q = tiles.select("tile", "token", "low", "high").alias("p"), tiles.select("tile", "token", "low", "high").alias("q")
         met = p.join(q, F.expr(f"p.token = q.token and p.tile <= q.tile and {num} * p.low <= {den} * q.high and {num} * q.low <= {den} * p.high"))
         met = stored(met.select(F.col("p.tile").alias("tile1"), F.col("q.tile").alias("tile2")), f"{base}/met")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        spans = stored(_linked(met.join(held(1), "tile1").join(held(2), "tile2").repartition(parts), num, den).distinct(), f"{base}/spans")
+        spans = stored(_linked(met.join(held(1), "tile1").join(held(2), "tile2"), num, den).distinct(), f"{base}/spans")
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
     links = stored(_verified(full, num, den), f"{base}/links")
     if not often.isEmpty():
         links = links.unionByName(spans)
-    for name in ("heads", "names", "pairs", "counted", "often", "crowded", "wanted", "sets", "tiles", "met"):
+    for name in ("heads", "names", "pairs", "counted", "candidates", "either", "often", "crowded", "wanted", "sets", "tiles", "met"):
         discard(spark, f"{base}/{name}")
     return members, links
 
