@@ -143,11 +143,17 @@ class IdFilter:
                 at, bit = IdFilter._place(np.asarray(batch.column(0), np.int64), size)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array((np.uint64(1) << bit).view(np.int64))], ["word", "bits"])
 
+        def columns(batches):
+            # whole columns as bytes: the driver gets a few values, not a row for each word
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(c, np.int64).tobytes()], pa.binary()) for c in batch.columns], ["word", "bits"])
+
         from pyspark.sql import functions as F
 
         self.bits = np.zeros(size, np.uint64)
-        for at, value in ids.select(F.col(column).cast("long").alias("id")).where("id is not null").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
-            self.bits[at] = np.int64(value).view(np.uint64)
+        merged = ids.select(F.col(column).cast("long").alias("id")).where("id is not null").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        for at, bits in merged.mapInArrow(columns, "word binary, bits binary").collect():
+            self.bits[np.frombuffer(at, np.int64)] = np.frombuffer(bits, np.int64).view(np.uint64)
 
     @staticmethod
     def _place(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
