@@ -1,7 +1,8 @@
 """Secret scan: candidates by shape, false positives removed by a random forest; DataFrame functions and spark.ml alone.
 
-A candidate is a blank-separated word with a run of 16 or more key characters that has a digit, or a well-known key
-prefix. The forest sees its length, character transitions, dictionary coverage, path marks and the neighbouring words.
+A candidate is each run of 16 or more key characters in a blank-separated word of which a run has a digit or a well-known
+key prefix. The forest sees its length, character transitions, dictionary coverage, path marks, the neighbouring words and
+what stands beside it in its own word.
 It is trained on labelled findings - by default the built-in ones, which are made from hashes and templates here.
 """
 
@@ -23,6 +24,10 @@ _WORDS = "user|name|test|file|path|data|index|config|value|list|item|page|view|n
 _BESIDE = "pass|pwd|secret|token|apikey|api_key|access|auth|bearer|credential|private|signature"
 _OTHER = "commit|sha|md5|hash|checksum|digest|uuid|guid|revision|rev|example|sample|dummy|placeholder|etag|trace|build|file|path|url|see|version"
 _PREFIX = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live_|xox[abp]-|AIza|eyJ|glpat-|npm_)"
+# A prefix where a run begins.
+_BEGINS = rf"(?<![A-Za-z0-9_+/\-]){_PREFIX[1:]}"
+# What ends a field of a word that holds several.
+_FIELD = r"[,;&|?{}]"
 
 FEATURES = ["size", "run", "digits", "upper", "lower", "symbols", "hexes", "turns", "variety", "words", "slashes", "dots", "at_sign", "dashes", "prefix", "assigned", "quoted", "beside", "other", "sentence"]
 
@@ -32,11 +37,8 @@ def _share(text: Column, pattern: str, size: Column) -> Column:
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """Adds FEATURES to rows with word, before2, before1, after1 (strings; null: none) and the value that the word holds."""
-    value = F.regexp_extract("word", f"({_RUN})", 1)
-    rows = rows.withColumn("value", F.when(value == "", F.col("word")).otherwise(value))
-    size, v, w = F.length("value").cast("double"), F.col("value"), F.col("word")
-    head = w.substr(F.lit(1), F.position(v, w) - 1)
+    """Adds FEATURES to rows with value, head (what stands before it in its word), word, before2, before1, after1 (strings; null: none)."""
+    size, v, w, head = F.length("value").cast("double"), F.col("value"), F.col("word"), F.col("head")
     near = F.lower(F.concat_ws(" ", "before2", "before1", head))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return rows.withColumns(
@@ -50,16 +52,36 @@ def features(rows: DataFrame) -> DataFrame:
     )
 
 
+def first_values(rows: DataFrame) -> DataFrame:
+    """Adds value and head to rows with word: its first run, or the whole word if it has none."""
+    value = F.regexp_extract("word", f"({_RUN})", 1)
+    rows = rows.withColumn("value", F.when(value == "", F.col("word")).otherwise(value))
+    return rows.withColumn("head", F.col("word").substr(F.lit(1), F.position(F.col("value"), F.col("word")) - 1))
+
+
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, place (of the word in the text), word, before2, before1, after1. Null and empty texts have none."""
+    """doc_id, place (of the word in the text), before2, before1, after1, value, head, word; a row for each run. Null and empty texts have none.
+
+    The word of a run that is alone is whole. Otherwise it is the run's own field: what stands between the runs on both
+    sides, and the one before (the name of a value, perhaps), none of it beyond a mark that ends a field. So the words
+    of all runs together take no more than three times their text.
+    """
     likely = F.col("text").rlike(_RUN)
     words = documents.where(likely).select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", r"\s+").alias("w"))
     near = lambda i, d: F.get("w", i + d)
     found = F.filter(
-        F.transform("w", lambda x, i: F.when((F.length(x) >= 16) & x.rlike(_RUN) & (x.rlike(rf"(?=\S*[0-9]){_RUN}") | x.rlike(_PREFIX)), F.struct(i.alias("place"), x.alias("word"), near(i, -2).alias("before2"), near(i, -1).alias("before1"), near(i, 1).alias("after1")))),
+        F.transform("w", lambda x, i: F.when((F.length(x) >= 16) & x.rlike(_RUN) & (x.rlike(rf"(?=\S*[0-9]){_RUN}") | x.rlike(_BEGINS)), F.struct(i.alias("place"), x.alias("word"), near(i, -2).alias("before2"), near(i, -1).alias("before1"), near(i, 1).alias("after1")))),
         lambda c: c.isNotNull(),
     )
-    return words.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
+    whole = words.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
+    # word = gaps[0] runs[0] gaps[1] runs[1] ... gaps[n]
+    whole = whole.select("*", F.regexp_extract_all("word", F.lit(f"({_RUN})"), F.lit(1)).alias("runs"), F.split("word", _RUN).alias("gaps"))
+    around = lambda v, i: F.struct(v.alias("value"), F.get("runs", i - 1).alias("last"), F.get("gaps", i).alias("gap"), F.get("gaps", i + 1).alias("tail"), (F.size("runs") > 1).alias("several"))
+    each = whole.select("doc_id", "place", "before2", "before1", "after1", F.explode(F.transform("runs", around)).alias("r")).select("doc_id", "place", "before2", "before1", "after1", "r.*")
+    head = F.when(F.col("last").isNull(), F.col("gap")).when(F.col("gap").rlike(_FIELD), F.regexp_replace("gap", rf"^.*{_FIELD}", "")).otherwise(F.concat("last", "gap"))
+    tail = F.when(F.col("several"), F.regexp_replace("tail", rf"{_FIELD}.*$", "")).otherwise(F.col("tail"))
+    each = each.select("doc_id", "place", "before2", "before1", "after1", "value", head.alias("head"), tail.alias("tail"))
+    return each.select("doc_id", "place", "before2", "before1", "after1", "value", "head", F.concat("head", "value", "tail").alias("word"))
 
 
 def labelled_findings(spark: SparkSession, count: int = 4_800) -> DataFrame:
@@ -88,14 +110,14 @@ def labelled_findings(spark: SparkSession, count: int = 4_800) -> DataFrame:
 def train(findings: DataFrame, seed: int = 7) -> RandomForestClassificationModel:
     """The forest for labelled findings (word, before2, before1, after1, label); more than FIT_FINDINGS are cut to those of the least hash."""
     rows = findings.orderBy(F.xxhash64("word", "before1", "label"), "word").limit(FIT_FINDINGS).coalesce(1)
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(rows)).select("features", F.col("label").cast("double").alias("label"))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(first_values(rows))).select("features", F.col("label").cast("double").alias("label"))
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 
 
 def scan(documents: DataFrame, model: RandomForestClassificationModel, least: float = 0.5) -> DataFrame:
     """doc_id, place, value, score of each finding whose score is least or more.
 
-    place: the word, counted from 0 between runs of blanks. Rows with a null doc_id keep it; repeated rows repeat their
+    place: the word, counted from 0 between runs of blanks; a word may hold several findings. Rows with a null doc_id keep it; repeated rows repeat their
     findings; an empty table gives none. One narrow pass: nothing is shuffled.
     """
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(candidates(documents)))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -250,6 +251,22 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0), secrets.train(secrets.labelled_findings(spark))).count() == 0
 
 
+def test_secrets_within_a_word(spark):
+    one, two = hashlib.sha256(b"y").hexdigest()[:40], hashlib.sha256(b"z").hexdigest()[:40]
+    key = "wJalrXUtnFEMI/K7MDENGbPxRfiCYEXAMPLEKEY"
+    texts = {
+        1: f"AWS_SECRET_ACCESS_KEY={key}", 2: f'{{"password":"{one}","token":"{two}"}}', 3: f"https://www.example.com/user/service/config/index-page?token={one}",
+        4: f"password={one};api_key={two}", 5: f'say {{"long_access_token_name":"{one}"}} is', 6: "see https://www.example.com/user/service-manager/index?page=/home/local/share/file-index-2 and",
+    }
+    df = docs(spark, list(texts.items()))
+    every = sorted((r.doc_id, r.value) for r in secrets.candidates(df).collect())
+    assert every == sorted((d, v) for d, t in texts.items() for v in re.findall(r"[A-Za-z0-9_+/\-]{16,}", t))
+    found = {(r.doc_id, r.value) for r in secrets.scan(df, secrets.train(secrets.labelled_findings(spark))).collect()}
+    want = {(1, key), (2, one), (2, two), (3, one), (4, one), (4, two), (5, one)}
+    # a name in capitals may be taken for a key, as it may be without a value beside it
+    assert want <= found <= want | {(1, "AWS_SECRET_ACCESS_KEY")}
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------------
 
 
