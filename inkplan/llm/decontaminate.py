@@ -3,7 +3,8 @@
 Each mask picks some words of a window and ignores the others, so a window with substitutions in the ignored places
 hashes as the original does. Hashes of the benchmark's windows are matched with those of every window of every
 document; around a hit, the item and the document are compared word by word along the diagonal, and the best stretch
-(a match gains 1, a substitution costs 2) decides. Words are runs of letters and digits, in lower case.
+(a match gains 1, a substitution costs 2) decides. If none of an item's diagonals in a document does, those near each other
+are compared once more with words inserted or dropped, which cost 2 each. Words are runs of letters and digits, in lower case.
 
 The benchmark is the small side: it is taken in blocks of a bounded number of bytes, each of which goes to all tasks,
 and the documents are scanned once per block, without a shuffle.
@@ -23,10 +24,12 @@ from .common import PUNCTUATION, Words, mixed, pieces
 MASKS = ("11111", "1110111", "11011011", "1011001101")
 #: Benchmark text that one pass takes.
 BLOCK_BYTES = 16 << 20
-#: A stretch counts from so many equal words on, or this part of the item if that is more (the whole item if it is shorter) ...
-LEAST_MATCHES, LEAST_PART = 12, 0.35
-#: ... and if at least this part of its words is equal.
+#: A stretch counts from so many equal words on, however long the item is (of an item no longer than that, from this part of it on) ...
+LEAST_MATCHES, LEAST_PART = 12, 0.85
+#: ... and if at least this part of its words is equal, or so many in a row are.
 LEAST_EQUAL = 0.75
+#: Words that a stretch may have inserted or dropped in all, at any one place, against the diagonal of a hit.
+SHIFT = 4
 _SHORTEST = 4
 _FILTER = 1 << 20
 
@@ -93,6 +96,8 @@ class Benchmark:
             found.append(np.stack([words.row[at[which]], item, diagonal], axis=1).astype(np.int64))
         hits = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
         best = [self._stretch(words, hits[a : a + 20_000]) for a in range(0, len(hits), 20_000)]
+        near = self._unsettled(hits, best)
+        best += [self._shifted(words, near[a : a + 5_000]) for a in range(0, len(near), 5_000)]
         out = {k: np.concatenate([b[k] for b in best]) if best else np.zeros(0, np.int64) for k in ("row", "item", "start", "n_words", "n_equal")}
         # one stretch for each row and item: most equal words, then the first
         order = np.lexsort((out["start"], -out["n_equal"], out["item"], out["row"]))
@@ -107,6 +112,7 @@ class Benchmark:
         first, past = words.first[row], words.first[row + 1]
         score, equal, begin = np.zeros(len(hits), np.int64), np.zeros(len(hits), np.int64), np.zeros(len(hits), np.int64)
         top, size, matches, start = score.copy(), score.copy(), score.copy(), score.copy()
+        alike, longest, last = score.copy(), score.copy(), score.copy()
         for i in range(int(n.max(initial=0))):
             at = diagonal + i
             inside = (i < n) & (at >= first) & (at < past)
@@ -118,11 +124,72 @@ class Benchmark:
             score = np.where(fresh, 0, score) + np.where(same, 1, -2)
             better = score > top
             top, size, matches, start = np.where(better, score, top), np.where(better, i + 1 - begin, size), np.where(better, equal, matches), np.where(better, begin, start)
-        need = np.minimum(n, np.maximum(LEAST_MATCHES, np.ceil(LEAST_PART * n))).astype(np.int64)
-        need = np.where(n <= LEAST_MATCHES, np.ceil(0.85 * n).astype(np.int64), need)
-        good = (matches >= need) & (matches >= LEAST_EQUAL * size)
+            alike = np.where(same, alike + 1, 0)
+            longer = alike > longest
+            longest, last = np.where(longer, alike, longest), np.where(longer, i, last)
+        need = self._need(n)
+        whole = (matches >= need) & (matches >= LEAST_EQUAL * size)
+        good = whole | (longest >= need)
+        # where the best stretch has too many substitutions, the equal words in a row
+        start, size, matches = np.where(whole, start, last + 1 - longest), np.where(whole, size, longest), np.where(whole, matches, longest)
         return {"row": row[good], "item": item[good], "start": (diagonal + start - first)[good], "n_words": size[good], "n_equal": matches[good]}
 
+    @staticmethod
+    def _need(n: np.ndarray) -> np.ndarray:
+        return np.where(n <= LEAST_MATCHES, np.ceil(LEAST_PART * n).astype(np.int64), LEAST_MATCHES)
+
+    @staticmethod
+    def _unsettled(hits: np.ndarray, best: list[dict[str, np.ndarray]]) -> np.ndarray:
+        """Hits of rows and items without a stretch, which have another hit of theirs within SHIFT diagonals."""
+        if len(hits) < 2:
+            return hits[:0]
+        # hits are in order of row, item, diagonal
+        pair = np.concatenate([[0], np.cumsum((hits[1:, :2] != hits[:-1, :2]).any(axis=1))])
+        close = (pair[1:] == pair[:-1]) & (hits[1:, 2] - hits[:-1, 2] <= SHIFT)
+        near = np.zeros(len(hits), bool)
+        near[1:] |= close
+        near[:-1] |= close
+        names = hits[:, 0] << 32 | hits[:, 1]
+        done = np.concatenate([b["row"] << 32 | b["item"] for b in best])
+        return hits[near & ~np.isin(names, done)]
+
+    def _shifted(self, words: Words, hits: np.ndarray) -> dict[str, np.ndarray]:
+        """As _stretch, over the diagonals within SHIFT of each hit; the first stretch that meets the limits with the most equal words."""
+        row, item, diagonal = hits.T
+        n, need = self.lengths[item], self._need(self.lengths[item])
+        first, past = words.first[row], words.first[row + 1]
+        shifts = np.arange(-SHIFT, SHIFT + 1)
+        # score, equal words, columns of the alignment, its first word in the document
+        state = np.zeros((4, len(hits), len(shifts)), np.int64)
+        found = np.zeros((3, len(hits)), np.int64)
+        for i in range(int(n.max(initial=0))):
+            at = diagonal[:, None] + i + shifts
+            inside = (i < n)[:, None] & (at >= first[:, None]) & (at < past[:, None])
+            own = self.words.hash[self.words.first[item] + np.minimum(i, n - 1)]
+            same = inside & (words.hash[np.clip(at, 0, len(words.hash) - 1)] == own[:, None])
+            # a word of the item dropped: the diagonal above, at the same word of the document
+            dropped = np.zeros_like(state)
+            dropped[:, :, :-1] = state[:, :, 1:]
+            dropped[0] -= 2
+            dropped[2] += 1
+            fresh = state[0] <= 0
+            state = np.where(fresh, np.stack([np.zeros_like(at), np.zeros_like(at), np.zeros_like(at), at]), state)
+            state += np.stack([np.where(same, 1, -2), same, np.ones_like(at), np.zeros_like(at)])
+            state = np.where(dropped[0] > state[0], dropped, state)
+            # a word inserted: the diagonal below, at the same word of the item
+            for s in range(1, len(shifts)):
+                inserted = state[:, :, s - 1] + np.array([-2, 0, 1, 0])[:, None]
+                state[:, :, s] = np.where(inserted[0] > state[0, :, s], inserted, state[:, :, s])
+            good = same & (state[1] >= need[:, None]) & (state[1] >= LEAST_EQUAL * state[2])
+            equal = np.where(good, state[1], 0)
+            which = equal.argmax(axis=1)
+            pick = np.arange(len(hits)), which
+            better = equal[pick] > found[2]
+            begin = state[3][pick]
+            found = np.where(better, np.stack([begin - first, at[pick] + 1 - begin, equal[pick]]), found)
+        good = found[2] > 0
+        return {"row": row[good], "item": item[good], "start": found[0][good], "n_words": found[1][good], "n_equal": found[2][good]}
+
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -137,6 +204,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
 def overlaps(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, start (word of the document), n_words and n_equal of the best stretch of each overlapping pair.
 
+    A pair overlaps from LEAST_MATCHES equal words on, of which one in four may be substituted, or SHIFT inserted or dropped.
     Null and empty texts overlap with nothing, items of fewer than four words neither; rows with a null id keep it.
     Repeated rows give repeated results. An empty benchmark gives no rows.
     """

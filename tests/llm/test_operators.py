@@ -334,6 +334,28 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(df, bench.limit(0)).count() == 0 and decontaminate.overlaps(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_parts(spark):
+    rng = random.Random(80)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    sizes = (150, 400, 16, 20, 8, 1000)
+    items = [[word() for _ in range(n)] for n in sizes]
+    other = lambda n: [word() for _ in range(n)]
+    long, longer, short, middle, least, most = items
+    texts = {
+        1: (long[40:90], 0), 2: (longer[200:300], 1), 3: (longer[50:62], 1), 4: (short[:8] + other(1) + short[8:], 2), 5: (short[:8] + short[9:], 2), 6: (middle[:6] + other(1) + middle[6:13] + middle[14:], 3),
+        7: (long[:9] + other(2) + long[9:20], 0), 8: (least[:4] + least[4:], 4), 9: (most[700:713], 5), 10: (sum(([*most[i : i + 5], *other(2)] for i in range(0, 140, 7)), []) + most[140:152], 5),
+        20: (long[:11], None), 21: (long[:6] + other(9) + long[15:20], None), 22: (short[:5] + other(30) + short[5:], None), 23: (middle[10:] + middle[:10], None),
+    }
+    rows = [(d, " ".join(other(20) + own + other(20))) for d, (own, _) in texts.items()]
+    df, bench = docs(spark, rows), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    want = {(d, i) for d, (_, i) in texts.items() if i is not None}
+    found = decontaminate.overlaps(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    at = {r.doc_id: (r.start, r.n_words, r.n_equal) for r in found}
+    assert (at[1], at[2], at[3], at[4], at[5], at[6], at[7]) == ((20, 50, 50), (20, 100, 100), (20, 12, 12), (20, 17, 16), (20, 15, 15), (20, 20, 19), (20, 22, 20))
+    assert {r.doc_id for r in decontaminate.without_overlaps(df, bench).collect()} == {d for d, (_, i) in texts.items() if i is None}
+
+
 # --- 9 ----------------------------------------------------------------------------------------------------------------
 
 
