@@ -3,7 +3,7 @@
 pages: doc_id long, page_no int, width int, height int, x_dpi int, y_dpi int, packed binary - rows of bits, leftmost
 highest, 1 = black, each row filled up to a byte. Lossless pages are independent of each other: one narrow pass, no
 shuffle. Lossy documents share symbols: their pages meet by doc_id, one document at a time, and memory is bounded by the
-document's shapes and one page.
+document's shapes and one page. Pages with a null doc_id are one document, whose doc_id is null.
 """
 
 from __future__ import annotations
@@ -50,6 +50,11 @@ def _classified(rows: pd.DataFrame, options: Encoding) -> tuple[symbols.Classes,
     return classes, sizes
 
 
+def _doc_id(rows: pd.DataFrame) -> int | None:
+    first = rows["doc_id"].iloc[0]
+    return None if pd.isna(first) else int(first)
+
+
 def classify(pages: DataFrame, options: Encoding = Encoding(mode="lossy")) -> DataFrame:
     """doc_id, comp_no, page_no (rank in the document), x, y, width, height, class_no, ul_x, ul_y of every shape, classes merged if the options say so."""
 
@@ -57,10 +62,10 @@ def classify(pages: DataFrame, options: Encoding = Encoding(mode="lossy")) -> Da
         classes, _ = _classified(rows, options)
         if options.merge:
             classes.merge_blocks() if options.merge_by_hash else classes.merge_all()
-        own = [(int(rows["doc_id"].iloc[0]), i, s.page, s.x, s.y, s.bits.shape[1], s.bits.shape[0], s.kind, s.left, s.top) for i, s in enumerate(classes.members)]
-        return pd.DataFrame(own, columns=["doc_id", "comp_no", "page_no", "x", "y", "width", "height", "class_no", "ul_x", "ul_y"])
+        own = [(_doc_id(rows), i, s.page, s.x, s.y, s.bits.shape[1], s.bits.shape[0], s.kind, s.left, s.top) for i, s in enumerate(classes.members)]
+        return pd.DataFrame(own, columns=["doc_id", "comp_no", "page_no", "x", "y", "width", "height", "class_no", "ul_x", "ul_y"]).astype({"doc_id": "Int64"})
 
-    return pages.select(*_COLUMNS).where("doc_id is not null").groupBy("doc_id").applyInPandas(run, "doc_id long, comp_no int, page_no int, x int, y int, width int, height int, class_no int, ul_x int, ul_y int")
+    return pages.select(*_COLUMNS).groupBy("doc_id").applyInPandas(run, "doc_id long, comp_no int, page_no int, x int, y int, width int, height int, class_no int, ul_x int, ul_y int")
 
 
 def encode_lossy(pages: DataFrame, options: Encoding = Encoding(mode="lossy")) -> DataFrame:
@@ -68,9 +73,9 @@ def encode_lossy(pages: DataFrame, options: Encoding = Encoding(mode="lossy")) -
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         head, streams = symbols.assemble(*_classified(rows, options), options)
-        return pd.DataFrame({"doc_id": [int(rows["doc_id"].iloc[0])], "globals": [head], "pages": [streams]})
+        return pd.DataFrame({"doc_id": pd.array([_doc_id(rows)], "Int64"), "globals": [head], "pages": [streams]})
 
-    return pages.select(*_COLUMNS).where("doc_id is not null").groupBy("doc_id").applyInPandas(run, "doc_id long, globals binary, pages array<binary>")
+    return pages.select(*_COLUMNS).groupBy("doc_id").applyInPandas(run, "doc_id long, globals binary, pages array<binary>")
 
 
 def encode(pages: DataFrame, options: Encoding = Encoding()) -> DataFrame:

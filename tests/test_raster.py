@@ -87,6 +87,16 @@ def pages_of(spark, items):
     return spark.createDataFrame([(d, n, p.shape[1], p.shape[0], 0, 0, bytearray(shapes.pack(p))) for d, n, p in items], document.PAGES)
 
 
+def test_pages_without_a_document(spark):
+    page = (np.random.default_rng(4).random((20, 40)) < 0.04).astype(np.uint8)
+    pages = pages_of(spark, [(d, n, page) for d in (None, 7) for n in range(2)])
+    encoded = {r.doc_id: (r.globals, r.pages) for r in document.encode_lossy(pages).collect()}
+    assert set(encoded) == {None, 7} and encoded[None] == encoded[7]
+    shapes_of = lambda d: sorted(tuple(r)[1:] for r in classified if r.doc_id == d)
+    classified = document.classify(pages).collect()
+    assert shapes_of(None) == shapes_of(7) != []
+
+
 def test_documents_round_trip(spark):
     rng = np.random.default_rng(1)
     sparse = lambda: (rng.random((20, 40)) < 0.04).astype(np.uint8)
