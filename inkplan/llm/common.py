@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,14 +27,28 @@ _FOLD[ord("A") : ord("Z") + 1] += 32
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share; a local one only if that is unset."""
+    """A new folder name below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a local master gets a folder of its own, which ends with the driver's process; on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='inkplan-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{(folder := tempfile.mkdtemp(prefix='inkplan-'))}"
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/inkplan/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of df begins with, in any case."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -205,9 +205,8 @@ def shingle_set(text, k):
     return frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[i : i + k]) for i in range(len(w) - k + 1)])
 
 
-@pytest.mark.parametrize("common", [3, 64])
-@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 8, 10)])
-def test_jaccard(spark, common, k, num, den):
+@pytest.mark.parametrize(("k", "num", "den", "common"), [(3, 9, 10, 64), (5, 8, 10, 3)])
+def test_jaccard(spark, k, num, den, common):
     rng = random.Random(k)
     word = lambda: rng.choice("abcdefghij") + str(rng.randrange(40))
     rows = []
@@ -226,13 +225,42 @@ def test_jaccard(spark, common, k, num, den):
     out = jaccard.jaccard_classes(docs(spark, [(*r, 5, 6) for r in rows], "doc_id long, text string, n int, token int"), k, num, den, common).collect()
     want = sorted((d is not None, d or 0, len(shingle_set(t, k)), low[d] if d is not None else None) for d, t in rows)
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id) for r in out) == want
-    assert jaccard.jaccard_classes(docs(spark, []), k, num, den).count() == 0
+
+
+def test_jaccard_of_one_group(spark):
+    """A large group of near copies around one text, sets with one common passage, and a chain that only its neighbours link."""
+    rng = random.Random(50)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(900))
+    base, passage, chain = [word() for _ in range(120)], [word() for _ in range(40)], [word() for _ in range(400)]
+    rows = [(i, " ".join(w if rng.random() > rng.choice([0.005, 0.02]) else word() for w in base)) for i in range(150)]
+    rows += [(200 + i, " ".join(passage + [word() for _ in range(rng.choice([2, 4, 30]))])) for i in range(150)]
+    rows += [(400 + i, " ".join(chain[3 * i : 3 * i + 100])) for i in range(90)]
+    rows += [(3, rows[200][1]), (700, rows[3][1]), (700, rows[3][1] + " more")]
+    sets = [(d, shingle_set(t, 5)) for d, t in rows]
+    links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :] if a == b or 10 * len(x & y) >= 8 * len(x | y)]
+    low = classes(sorted({d for d, _ in rows}), links)
+    out = jaccard.jaccard_classes(docs(spark, rows), 5, 8, 10, 4).collect()
+    assert sorted(map(tuple, out)) == sorted((d, len(s), low[d]) for d, s in sets)
+
+
+def test_tallies_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    for n, m, common in ((0, 9, 0), (30, 25, 20), (900, 1000, 700), (5, 4000, 5)):
+        every = rng.integers(0, 1 << 64, n + m, np.uint64, endpoint=False)
+        x, y = np.sort(every[:n]), np.sort(every[n - common : n - common + m])
+        shared = len(np.intersect1d(x, y))
+        assert shared <= jaccard.most_shared(jaccard.tally(x), jaccard.tally(y))
+    same = jaccard.tally(np.arange(5000, dtype=np.uint64))
+    assert jaccard.most_shared(same, same) >= 5000
 
 
 def test_one_of_each(spark):
     text = " ".join(map(str, range(60)))
-    rows = [(5, text), (3, text + " x"), (3, text + " x"), (9, "other words here"), (None, text)]
-    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in jaccard.one_of_each(docs(spark, rows)).collect()) == [(False, 0), (True, 3), (True, 9)]
+    rows = [(5, text), (3, text + " x"), (3, text + " x"), (9, "other words here"), (9, "and more"), (None, text)]
+    given = docs(spark, [(*r, 1, 2) for r in rows], "doc_id long, text string, mark int, _mark_id int")
+    out = jaccard.one_of_each(given)
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out.collect()) == [(False, 0), (True, 3), (True, 9), (True, 9)] and out.schema == given.schema
+    assert jaccard.one_of_each(given.limit(0)).count() == 0
 
 
 # --- 6 ----------------------------------------------------------------------------------------------------------------
