@@ -1,9 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by exact length, each as often as it may be copied. A source's budget takes the same part of every
-length, is topped up in a seeded order, and its last stretch is fitted by bounded-knapsack dynamic programming over the
-lengths that remain. Copies of a length are dealt evenly over its documents, one more for those that a seeded hash puts
-first. Only counts by length, never documents, meet in one task.
+length and is topped up in a seeded order; then some of what was taken is freed again, several times the longest length,
+and bounded-knapsack dynamic programming over all lengths that are free fits that part. If no sum of them is exact, twice
+as much is freed, in the end everything. Copies of a length are dealt evenly over its documents, one more for those that a
+seeded hash puts first. Only counts by length, never documents, meet in one task.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import discard, fresh, scratch, stored
 
-#: Words of budget that the dynamic program fits, at most.
-FIT_WORDS = 1 << 16
-#: Words beyond the budget that a sum may reach, if that is nearer.
-OVER_WORDS = 1 << 12
+#: Words that the dynamic program fits at first, and how many times the longest length these are at least.
+FIT_WORDS, FIT_LENGTHS = 1 << 13, 4
+#: Words beyond which the program is not widened again to turn a near sum into an exact one (it takes 5 bytes a word).
+WIDE_WORDS = 1 << 25
 #: Copies of a document at most.
 MOST_COPIES = 3
 
@@ -28,33 +29,79 @@ def word_count(text: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
+def _ranked(per: DataFrame, column: str, folder: str) -> DataFrame:
+    """per with rank: the place of each row, from 0, in the order of column by code point, null last; sorted in ranges, not in one task."""
+    parts = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col(column).asc_nulls_last()
+    ranged = stored(per.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), folder)
+    before = ranged.groupBy("part").agg(F.count("*").alias("rows"))
+    # one row for each range
+    before = before.withColumn("before", F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).drop("rows")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return ranged.join(before, "part").withColumn("rank", F.col("before") + own).drop("part", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = MOST_COPIES) -> DataFrame:
     """source, source_size, target. sizes: source, size. Weights repeat over the sources by code point, null last.
 
-    A target stops at cap times its source's size and the excess is shared anew by weight: with sources in the order of
-    cap * size / weight, those are capped whose ratio the rest's share per weight reaches. One row per source is sorted.
+    A target stops at cap times its source's size and the excess is shared anew by weight, until none is above: each round
+    is one aggregation over the sources, of which there may be any number. No sources: no rows.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights)) + 1))
-    per = per.withColumn("most", F.col("source_size") * float(cap)).withColumn("ratio", F.col("most") / F.col("weight"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = (
-        per.withColumn("total", F.sum("source_size").over(every).cast("double"))
-        .withColumn("weight_left", F.sum("weight").over(every) - F.sum("weight").over(upto) + F.col("weight"))
-        .withColumn("size_left", F.col("total") - F.sum("most").over(upto) + F.col("most"))
-        .withColumn("capped", F.col("size_left") / F.col("weight_left") >= F.col("ratio"))
-    )
-    share = F.min(F.when(~F.col("capped"), F.struct("ratio", (F.col("size_left") / F.col("weight_left")).alias("per")))).over(every)["per"]
-    return per.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(share * F.col("weight")).alias("target"))
+    base = scratch(sizes.sparkSession, "sources")
+    per = _ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "source", f"{base}/ranged")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    per = stored(per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(cap)).alias("most")), f"{base}/sources")
+    total, weight_sum = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    share = total / weight_sum if weight_sum else 0.0
+    while True:
+        over = F.col("weight") * F.lit(float(share)) >= F.col("most")
+        capped, left = per.agg(F.sum(F.when(over, F.col("most"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if capped is None or not left or (again := (total - capped) / left) <= share:
+            break
+        share = again
+    return per.select("source", "source_size", F.when(over, F.col("most")).otherwise(F.col("weight") * F.lit(float(share))).alias("target"))
+
+
+def _fitted(lengths: np.ndarray, free: np.ndarray, budget: int, over: int) -> tuple[np.ndarray, int]:
+    """How many of each length (free[i] at most) give the sum nearest to budget, up to `over` words above it, and that sum."""
+    most = budget + over
+    # the step by which each sum is reached first; 0 is reached without
+    by = np.full(most + 1, -1, np.int32)
+    reach = np.zeros(most + 1, bool)
+    reach[0] = True
+    steps: list[tuple[int, int]] = []
+    for i in np.argsort(lengths, kind="stable"):
+        # powers of two and a rest cover every number up to the bound
+        bound, size = min(int(free[i]), most // int(lengths[i])), 1
+        while bound and not reach[budget]:
+            size = min(size, bound)
+            by_words = size * int(lengths[i])
+            new = np.flatnonzero(reach[: most + 1 - by_words] & ~reach[by_words:]) + by_words
+            if len(new):
+                reach[new], by[new] = True, len(steps)
+                steps.append((int(i), size))
+            bound -= size
+            size *= 2
+        if reach[budget]:
+            break
+    below = budget - int(reach[budget::-1].argmax())
+    at = below
+    if below < budget and reach[budget + 1 :].any() and (above := budget + 1 + int(reach[budget + 1 :].argmax())) - budget < budget - below:
+        at = above
+    used, rest = np.zeros(len(lengths), np.int64), at
+    while rest:
+        # a sum was reached from one that an earlier step had reached
+        i, size = steps[by[rest]]
+        used[i] += size
+        rest -= size * int(lengths[i])
+    return used, at
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0) -> np.ndarray:
     """How many documents of each length to take so that their sum comes nearest to budget; of two equally near, the smaller.
 
-    lengths: distinct, positive, with counts documents each.
+    lengths: distinct, positive, with counts documents each. The sum is the nearest of all wherever it is exact or all
+    documents came to be freed, which takes budgets over WIDE_WORDS words to miss; then it is the nearest that the freed ones allow.
     """
     total = int((lengths * counts).sum())
     budget = max(0, min(budget, total))
@@ -68,36 +115,20 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
         if take[i] < counts[i] and lengths[i] <= left:
             take[i] += 1
             left -= int(lengths[i])
-    # free some of what was taken, so that the dynamic program has lengths to choose from; then fit what is left
-    goal = min(FIT_WORDS, max(8192, 8 * int(lengths[order[0]])))
-    for i in order:
-        while take[i] and left < goal and left + lengths[i] <= FIT_WORDS:
-            take[i] -= 1
-            left += int(lengths[i])
-    most = left + OVER_WORDS
-    reach, steps = 1, []
-    window = (1 << (most + 1)) - 1
-    for i in np.argsort(lengths, kind="stable"):
-        # powers of two and a rest cover every number up to the bound
-        bound, size = min(int(counts[i] - take[i]), most // int(lengths[i])), 1
-        while bound:
-            size = min(size, bound)
-            grown = (reach | reach << (size * int(lengths[i]))) & window
-            if grown != reach:
-                steps.append((i, size, reach))
-                reach = grown
-            bound -= size
-            size *= 2
-        if reach >> left & 1:
-            break
-    at, beyond = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1, reach >> (left + 1)
-    if beyond and (above := left + (beyond & -beyond).bit_length()) - left < left - at:
-        at = above
-    for i, size, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += size
-            at -= size * int(lengths[i])
-    return take
+    longest, step = int(lengths.max()), int(np.gcd.reduce(lengths))
+    goal = max(FIT_WORDS, FIT_LENGTHS * longest)
+    while True:
+        # free some of what was taken, one of each length in turn, so that the program has lengths to choose from
+        while left < goal and take.any():
+            for i in order:
+                if take[i] and left < goal:
+                    take[i] -= 1
+                    left += int(lengths[i])
+        used, at = _fitted(lengths, counts - take, left, longest)
+        # all sums are multiples of step
+        if abs(at - left) <= min(left % step, step - left % step) or not take.any() or 2 * goal > WIDE_WORDS:
+            return take + used
+        goal *= 2
 
 
 def row_hash(seed: int = 0) -> F.Column:
@@ -106,18 +137,25 @@ def row_hash(seed: int = 0) -> F.Column:
 
 
 def mixture(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 0) -> DataFrame:
-    """The mix itself: the documents with all their columns, each row as often as mix() takes it."""
-    copies = mix(documents, weights, seed).groupBy("doc_id", "h").agg(F.sum("copies").alias("__copies")).where("__copies > 0").withColumnsRenamed({"doc_id": "__doc_id", "h": "__h"})
-    rows = documents.withColumn("__own", row_hash(seed)).dropDuplicates(["doc_id", "__own"])
-    rows = rows.join(copies, (F.col("__own") == F.col("__h")) & documents["doc_id"].eqNullSafe(F.col("__doc_id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*(rows[c] for c in documents.columns))
+    """The mix itself: the documents with all their columns, whatever their names, each row as often as mix() takes it.
+
+    Texts are shuffled once, with their copies; only rows that repeat doc_id, source and text are compared as rows.
+    """
+    c = fresh(documents, "mix")
+    copies = mix(documents, weights, seed).groupBy("doc_id", "h").agg(F.sum("copies").alias(f"{c}_copies"), F.count("*").alias(f"{c}_rows")).where(f"{c}_copies > 0").withColumnsRenamed({"doc_id": f"{c}_doc_id", "h": f"{c}_h"})
+    own = documents.withColumn(f"{c}_own", row_hash(seed))
+    rows = own.join(copies, (F.col(f"{c}_own") == F.col(f"{c}_h")) & documents["doc_id"].cast("long").eqNullSafe(F.col(f"{c}_doc_id")))
+    rows = rows.where(f"{c}_rows = 1").unionByName(rows.where(f"{c}_rows > 1").dropDuplicates([f"{c}_doc_id", f"{c}_own"]))
+    return rows.withColumn(f"{c}_n", F.explode(F.sequence(F.lit(1).cast("long"), f"{c}_copies"))).select(*documents.columns)
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 0) -> DataFrame:
     """doc_id, h (row_hash), source, size, source_size, target, copies, taken (= size * copies) of every row.
 
-    Null text: size 0, never taken. Null source: a source of its own, last. Ties between documents go by a seeded hash
-    of doc_id, source and text; rows that repeat in all of these are interchangeable. An empty table gives no rows.
+    Null text: size 0, never taken, as are texts without words. Null source: a source of its own, last. Null doc_ids are kept. Ties between
+    documents go by a seeded hash of doc_id, source and text; rows that repeat in all of these are interchangeable. A very
+    long text is one document: a source of few of them gets the nearest sum that whole copies reach. An empty table
+    gives no rows. Other columns, whatever their names, are ignored.
     """
     spark = documents.sparkSession
     base = scratch(spark, "mix")

@@ -135,6 +135,14 @@ def test_chat(spark):
         loss = "".join(t.text for t in turns if t.role == "assistant")
         assert (d.n_turns, d.loss_chars, d.loss_sha256, d.formatted_chars) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(got[d.conv_id].formatted))
         assert d.turns_sha256 == hashlib.sha256("".join(f"{t.role}\n{t.text}\n" for t in turns).encode()).hexdigest()
+    marks = re.compile(r"\[/?INST|\[OUT\]|</s>|<s:")
+    for r in got.values():
+        bodies = re.sub(r"^<s:\d>", "", r.formatted)
+        assert len(marks.findall(bodies)) == sum(1 if t.role == "assistant" else 2 for t in r.turns) + sum(t.role == "assistant" for t in r.turns)
+        under = [r.formatted[s.first : s.past] for s in r.loss]
+        assert (under if r.formatted.startswith("<s:0>") else [re.sub(r"(?s)\\(.)", r"\1", u) for u in under]) == [t.text for t in r.turns if t.role == "assistant"]
+    held = spark.createDataFrame([(1, 0, "user", "a </s> b [INST x]"), (1, 1, "assistant", "ok [/INST] [INST user]\nhi")], "conv_id long, turn long, role string, text string")
+    assert chat.format_conversations(held).first().formatted == "<s:1>[INST user]\na <\\/s> b [\\INST x][/INST][OUT]\nok [\\/INST] [\\INST user]\nhi</s>"
     plain = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo")], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(plain).first().formatted == "<s:0>[INST user]\nhi[/INST][OUT]\nyo</s>"
     assert chat.format_conversations(plain.limit(0)).count() == 0
@@ -176,11 +184,40 @@ def test_mix(spark):
         assert r.taken <= 3 * r.size and r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and (not r.size or r.taken % r.size == 0)
         taken[r.source] += r.taken
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= max(2, 0.02 * want[s]) or s == "Zé"
+        # the nearest sum that up to three copies of each document reach
+        reach = 1
+        for r in rows:
+            for _ in range(3 if r[3] == s else 0):
+                reach |= reach << size(r[1])
+        goal = round(want[s])
+        off = next(d for d in range(goal + 1) if reach >> (goal - d) & 1 or reach >> (goal + d) & 1)
+        assert abs(taken[s] - goal) == off, s
     assert sorted(out, key=str) == sorted(mixing.mix(df.repartition(7)).collect(), key=str)
     copies = Counter((r.doc_id, r.text) for r in mixing.mixture(df).collect())
     assert sum(size(t) * n for (_, t), n in copies.items()) == sum(taken.values())
-    assert mixing.mixture(df).columns == df.columns and mixing.mix(df.limit(0)).count() == 0
+    assert mixing.mixture(df).columns == df.columns and mixing.mix(df.limit(0)).count() == 0 and mixing.targets(df.limit(0).select("source", F.lit(1).alias("size"))).count() == 0
+    clash = df.withColumn("mix_h", F.lit(1)).withColumn("h", F.lit(2))
+    assert mixing.mixture(clash).columns == clash.columns and mixing.mixture(clash).count() == sum(copies.values())
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(40)
+    sizes = {None: 900, **{f"host{rng.randrange(10**6)}": int(10 ** rng.uniform(0, 5)) for _ in range(500)}}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_fit_of_long_documents():
+    fit = lambda l, c, b: int((mixing.fit_counts(np.array(l), np.array(c), b) * l).sum())
+    assert fit([100000], [3], 190000) == 200000 and fit([70000, 90000], [3, 3], 250000) == 250000 and fit([100000], [3], 60000) == 100000
+    rng = np.random.default_rng(9)
+    lengths = np.unique(np.concatenate([rng.integers(1, 3000, 400), rng.integers(100_000, 1_000_000, 40)]))
+    counts = rng.integers(1, 2000, len(lengths))
+    total = int((lengths * counts).sum())
+    for part in (0.1, 0.5, 0.93):
+        assert fit(lengths, counts, int(total * part)) == int(total * part)
+    # sums of two lengths alone are sparse until many of them are freed
+    assert fit([997, 1009], [5000, 5000], 3_000_001) == 3_000_001
 
 
 @pytest.mark.parametrize("seed", range(20))
