@@ -7,8 +7,8 @@ compared. A comparison adds up products over the leading axes first; what the ot
 product of suffix norms, and rows, columns and at last the whole tile pair are left as soon as no cosine in them can
 reach the threshold. What remains is verified in double precision on the vectors as given.
 
-Equal vectors of a label are one node with a count. A tile pair returns a count per node and a spanning set of its links,
-never its pairs.
+Equal vectors of a label are one node with a count, named by their hash. A tile pair returns a count per node and a
+spanning set of its links, never its pairs. Tiles are shipped as given and rotated where they are compared.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_reached, scratch, stored
+from .common import discard, least_reached, scratch, stored
 
 #: Vectors of a tile.
 TILE = 512
@@ -63,21 +63,23 @@ def _axes(nodes: DataFrame, size: int) -> np.ndarray:
     return np.linalg.eigh(total)[1].T[::-1]
 
 
-def _tiles(nodes: DataFrame, axes: np.ndarray, width: float) -> DataFrame:
-    """tile, label, dim, c1, c2, low, high (boxes), and as binary the nodes, their counts, rotated and given vectors."""
+def _turned(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors on the principal axes, or as they are where their length isn't that of the axes."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1)[:, None]
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    return x @ axes.T if x.shape[1] == len(axes) else x
+
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.float64)
-        x = x / np.abs(x).max(axis=1)[:, None]
-        x = x / np.linalg.norm(x, axis=1)[:, None]
-        return x @ axes.T if x.shape[1] == len(axes) else x
+def _tiles(nodes: DataFrame, axes: np.ndarray, width: float) -> DataFrame:
+    """tile, label, dim, c1, c2, low, high (boxes), and as binary the nodes, their counts and vectors."""
 
     def place(batches):
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                x = unit(_matrix(part.column("embedding")))
+                x = _turned(_matrix(part.column("embedding")), axes)
                 cell = [np.floor(x[:, i] / width).astype(np.int32) if i < dim else np.zeros(len(x), np.int32) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "copies", "label", "dim", "embedding")), pa.array(cell[0]), pa.array(cell[1]), pa.array(x[:, 2 if dim > 2 else 0])], ["node", "copies", "label", "dim", "embedding", "c1", "c2", "p"])
 
@@ -88,15 +90,14 @@ def _tiles(nodes: DataFrame, axes: np.ndarray, width: float) -> DataFrame:
         def close():
             nonlocal count, held
             given = np.stack([h[2] for h in held])
-            turned = unit(given)
-            lead = turned[:, :BOX]
+            lead = _turned(given, axes)[:, :BOX]
             tile = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part << 32 | count], pa.int64()), pa.array([key[0]], pa.int64()), *(pa.array([k], pa.int32()) for k in key[1:]),
                     pa.array([lead.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([lead.max(axis=0).tolist()], pa.list_(pa.float64())),
-                    *(pa.array([x.tobytes()], pa.binary()) for x in (np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64), turned.astype(np.float32), given.astype(np.float64))),
+                    *(pa.array([x.tobytes()], pa.binary()) for x in (np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64), given)),
                 ],
-                ["tile", "label", "dim", "c1", "c2", "low", "high", "nodes", "copies", "turned", "given"],
+                ["tile", "label", "dim", "c1", "c2", "low", "high", "nodes", "copies", "given"],
             )
             count, held = count + 1, []
             return tile
@@ -117,7 +118,7 @@ def _tiles(nodes: DataFrame, axes: np.ndarray, width: float) -> DataFrame:
     placed = nodes.mapInArrow(place, f"node long, copies long, label long, dim int, embedding {kind}, c1 int, c2 int, p double")
     keys = ["label", "dim", "c1", "c2", "p", "node"]
     return placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(
-        cut, "tile long, label long, dim int, c1 int, c2 int, low array<double>, high array<double>, nodes binary, copies binary, turned binary, given binary"
+        cut, "tile long, label long, dim int, c1 int, c2 int, low array<double>, high array<double>, nodes binary, copies binary, given binary"
     )
 
 
@@ -152,7 +153,7 @@ def compare(x: np.ndarray, y: np.ndarray, given_x: np.ndarray, given_y: np.ndarr
     return i[good], j[good]
 
 
-def _linked(pairs: DataFrame, threshold: float) -> DataFrame:
+def _linked(pairs: DataFrame, threshold: float, axes: np.ndarray, kind: type) -> DataFrame:
     """node, n (vectors linked with it), other (a node of the same component), over all tile pairs."""
 
     def run(batches):
@@ -160,11 +161,11 @@ def _linked(pairs: DataFrame, threshold: float) -> DataFrame:
             for i in range(len(batch)):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 one, dim = row["t1"].as_py() == row["t2"].as_py(), row["dim"].as_py()
-                read = lambda c, kind: np.frombuffer(row[c].as_buffer(), kind)
+                read = lambda c, kind: np.frombuffer(row[c].as_buffer(), kind)  # noqa: B023, E731
                 nodes = [read(f"nodes{k}", np.int64) for k in (1, 2)]
                 copies = [read(f"copies{k}", np.int64) for k in (1, 2)]
-                turned = [read(f"turned{k}", np.float32).reshape(-1, dim) for k in (1, 2)]
-                given = [read(f"given{k}", np.float64).reshape(-1, dim) for k in (1, 2)]
+                given = [read(f"given{k}", kind).reshape(-1, dim).astype(np.float64) for k in (1, 2)]
+                turned = [_turned(x, axes).astype(np.float32) for x in given]
                 a, b = compare(*turned, *given, threshold)
                 if one:
                     a, b = a[a < b], b[a < b]
@@ -183,7 +184,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
 
     Vectors link if their labels are equal and not null and their cosine is threshold or more. Null, zero or non-finite
     vectors, such with null components, vectors of different lengths and rows without a vec_id link with nothing: they
-    are their own components. A repeated row is a vector of its own. threshold: over 0.
+    are their own components. A repeated row is a vector of its own, and so are different vectors of one vec_id: each has
+    its own links. Vectors that tie at the threshold link. An empty table gives no rows; other columns, whatever their names, are
+    ignored. threshold: over 0.
     """
     from .components import components
 
@@ -192,11 +195,13 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
     rows = rows.withColumn("ok", _usable()).withColumn("h1", F.when(F.col("ok"), F.xxhash64("embedding"))).withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "embedding")))
     nodes = stored(
-        rows.where("ok").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding")),
+        rows.where("ok").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+        .withColumn("node", F.xxhash64("label", "h1", "h2")).withColumn("dim", F.size("embedding")),
         f"{base}/nodes",
     )
     common = nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     axes = _axes(nodes, common.dim) if common else np.eye(1)
+    kind = np.float32 if "float" in dict(nodes.dtypes)["embedding"] else np.float64
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) * 1.001 + 1e-6
     tiles = stored(_tiles(nodes.select("node", "copies", "label", "dim", "embedding"), axes, width), f"{base}/tiles")
     # the same cell once, and half of those around it
@@ -209,15 +214,21 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
         F.expr(f"x.label = y.label and x.dim = y.dim and x.n1 = y.c1 and x.n2 = y.c2 and (x.d.d1 <> 0 or x.d.d2 <> 0 or x.tile <= y.tile) and {gaps} <= {width * width!r}"),
     ).select(F.col("x.tile").alias("t1"), F.col("y.tile").alias("t2"))
     pairs = stored(pairs, f"{base}/pairs")
-    held = lambda k: tiles.select(F.col("tile").alias(f"t{k}"), *(["dim"] if k == 1 else []), *(F.col(c).alias(f"{c}{k}") for c in ("nodes", "copies", "turned", "given")))
+    held = lambda k: tiles.select(F.col("tile").alias(f"t{k}"), *(["dim"] if k == 1 else []), *(F.col(c).alias(f"{c}{k}") for c in ("nodes", "copies", "given")))
     full = pairs.join(held(1), "t1").join(held(2), "t2")
-    linked = stored(_linked(full, threshold), f"{base}/linked")
+    linked = stored(_linked(full, threshold, axes, kind), f"{base}/linked")
     counts = linked.groupBy("node").agg(F.sum("n").alias("n"))
     found = components(linked.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    nodes = nodes.select("label", "h1", "h2", F.col("node"), "copies").join(counts, "node", "left").join(found, "node", "left")
-    nodes = stored(nodes.select("label", "h1", "h2", "copies", "n", F.coalesce("component", "node").alias("component")), f"{base}/result")
+    # components by their smallest vec_id
+    named = found.join(nodes.select("node", "least"), "node")
+    smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
+    named = named.join(smallest, "component").select("node", "smallest")
+    result = nodes.select("label", "h1", "h2", "node", "copies", "least").join(counts, "node", "left").join(named, "node", "left")
+    result = stored(result.select("label", "h1", "h2", "copies", "n", F.coalesce("smallest", "least").alias("component")), f"{base}/result")
+    for name in ("nodes", "tiles", "pairs", "linked"):
+        discard(spark, f"{base}/{name}")
     return (
-        rows.select("vec_id", "label", "h1", "h2").join(nodes, ["label", "h1", "h2"], "left")
+        rows.select("vec_id", "label", "h1", "h2").join(result, ["label", "h1", "h2"], "left")
         .select("vec_id", F.coalesce(F.col("copies") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
