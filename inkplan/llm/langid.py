@@ -19,12 +19,12 @@ from .common import pieces
 
 #: Hash slots of the trigram table of each language.
 SLOTS = 1 << 16
-#: At most about so many documents are fitted on: those of the least hash of doc_id.
-FIT_DOCUMENTS = 20_000
+#: At most about so many documents of each language are fitted on: those of the least hash of doc_id.
+FIT_DOCUMENTS = 5_000
 #: Cost of a change of language between two words, in nats.
 SWITCH = 8.0
-#: More lang values than this are refused.
-MOST_LANGUAGES = 250
+#: Text bytes that are scored at once, for so many languages; fewer for more of them.
+SCORED_BYTES, SCORED_LANGUAGES = 4 << 20, 16
 _SMOOTH = 0.5
 _NEVER = np.float32(-1e9)
 
@@ -40,9 +40,9 @@ _TABLES: list[np.ndarray] = []
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Per code point: whether it is a letter (or a mark inside a word), and its script's number."""
+    """Per code point: 1 for a letter, 2 for a mark, which belongs to the letter before it, else 0; and its script's number."""
     if not _TABLES:
-        kinds = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)])
+        kinds = np.array(["LM".find(unicodedata.category(chr(c))[0]) + 1 for c in range(sys.maxunicode + 1)], np.uint8)
         script = np.zeros(sys.maxunicode + 1, np.uint8)
         for name, a, b in SCRIPTS:
             script[a : b + 1] = _NAMES.index(name)
@@ -58,7 +58,10 @@ class Grams:
         lowered = [(t or "").lower() for t in texts]
         lengths = np.array([len(t) for t in lowered], np.int64)
         code = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        solid = letter[code]
+        kind = letter[code]
+        # marks are part of a word where a letter, or marks alone after one, stand before them
+        last = np.maximum.accumulate(np.where(kind != 2, np.arange(len(kind)), 0))
+        solid = kind[last] == 1
         code = np.where(solid, code, 0).astype(np.uint32)
         before = np.concatenate([[0], code[:-1]]).astype(np.uint32)
         earlier = np.concatenate([[0], before[:-1]]).astype(np.uint32)
@@ -81,12 +84,15 @@ class Grams:
         self.script = script[code[starts]]
 
 
-def _counts(labelled: DataFrame) -> DataFrame:
-    """(lang, slot, n) and, as slot -1 - s, words of script s."""
+def _counts(labelled: DataFrame) -> list[tuple[str, np.ndarray]]:
+    """Per language: occurrences of each trigram slot, then words of each script. One value of fixed size for each language."""
+    width = SLOTS + len(_NAMES)
+
+    def out(langs: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(langs), pa.string()), pa.array([x.astype(np.int64).tobytes() for x in langs.values()], pa.binary())], ["lang", "counts"])
 
     def count(batches):
         langs: dict[str, np.ndarray] = {}
-        scripts: dict[str, np.ndarray] = {}
         for batch in batches:
             for piece in pieces(batch, "text"):
                 grams, names = Grams(piece.column("text").to_pylist()), np.array(piece.column("lang").to_pylist(), object)
@@ -94,13 +100,23 @@ def _counts(labelled: DataFrame) -> DataFrame:
                 for lang in set(names.tolist()):
                     own = word_lang == lang
                     spread = np.repeat(own, grams.letters + 1)
-                    langs[lang] = langs.get(lang, 0) + np.bincount(grams.slots[spread], minlength=SLOTS)
-                    scripts[lang] = scripts.get(lang, 0) + np.bincount(grams.script[own], minlength=len(_NAMES))
-        for lang, total in langs.items():
-            at, s = np.flatnonzero(total), np.flatnonzero(scripts[lang])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + len(s))), pa.array(np.concatenate([at, -1 - s])), pa.array(np.concatenate([total[at], scripts[lang][s]]))], ["lang", "slot", "n"])
+                    langs[lang] = langs.get(lang, 0) + np.concatenate([np.bincount(grams.slots[spread], minlength=SLOTS), np.bincount(grams.script[own], minlength=len(_NAMES))])
+            if len(langs) > 64:
+                yield out(langs)
+                langs = {}
+        yield out(langs)
+
+    def add(batches):
+        langs: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                langs[lang] = langs.get(lang, 0) + np.frombuffer(raw.as_buffer(), np.int64)
+        yield out(langs)
 
-    return labelled.select("text", "lang").mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    schema = "lang string, counts binary"
+    found = labelled.select("text", "lang").mapInArrow(count, schema).repartition("lang").mapInArrow(add, schema).collect()
+    assert all(len(r.counts) == 8 * width for r in found)
+    return [(r.lang, np.frombuffer(r.counts, np.int64)) for r in found]
 
 
 class Model:
@@ -109,6 +125,10 @@ class Model:
     def __init__(self, languages: list[str], scores: np.ndarray, allowed: np.ndarray):
         self.languages, self.scores, self.allowed = languages, scores, allowed
 
+    def bytes_at_once(self) -> int:
+        """Text bytes of a piece, so that its scores take bounded memory."""
+        return SCORED_BYTES * SCORED_LANGUAGES // max(SCORED_LANGUAGES, len(self.languages))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
         """Per text: the language of most letters, its share of the letters, and the spans (first word, past the last, language)."""
         grams, count = Grams(texts), len(self.languages)
@@ -138,7 +158,7 @@ class Model:
         begin, lengths = first[:-1][order], lengths[order]
         alive = np.searchsorted(-lengths, -np.arange(1, int(lengths.max()) + 1), side="right")
         moved = np.zeros(word.shape, bool)
-        source = np.zeros(len(word), np.uint8)
+        source = np.zeros(len(word), np.int32)
         held = word[begin[: alive[0]]]
         for t in range(1, len(alive)):
             k = alive[t]
@@ -153,7 +173,7 @@ class Model:
             held = np.where(go, jump, held) + word[at]
         word[begin[: len(held)] + len(alive) - 1] = held
         # back: the last words hold the totals
-        path = np.zeros(len(word), np.uint8)
+        path = np.zeros(len(word), np.int32)
         now = np.zeros(alive[0], np.int64)
         upto = 0
         for t in range(len(alive) - 1, -1, -1):
@@ -170,26 +190,22 @@ class Model:
 
 
 def fit(labelled: DataFrame, limit: int = FIT_DOCUMENTS) -> Model:
-    """labelled: doc_id, text, lang. Fits on the rows with a lang whose doc_id has the least hashes, about limit of them."""
+    """labelled: doc_id, text, lang. Fits on the rows with a lang whose doc_id has the least hashes, about limit of each language.
+
+    So a rare language is fitted on all that it has. Null langs and texts are left out; no rows give a model without languages.
+    """
     rows = labelled.where("lang is not null and text is not null").select(F.xxhash64("doc_id").alias("h"), "text", "lang")
-    total = rows.count()
-    if total > limit:
-        # hashes are uniform, so this part of their range holds about limit rows
-        rows = rows.where(F.col("h") < F.lit(int(-(1 << 63) + (1 << 64) * limit // total)))
-    found = _counts(rows).collect()
-    languages = sorted({r.lang for r in found})
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MOST_LANGUAGES} are supported")
-    index = {lang: i for i, lang in enumerate(languages)}
-    counts, allowed = np.zeros((SLOTS, len(languages))), np.zeros((len(_NAMES), len(languages)), bool)
-    words = np.zeros(allowed.shape)
-    for lang, slot, n in found:
-        if slot >= 0:
-            counts[slot, index[lang]] = n
-        else:
-            words[-1 - slot, index[lang]] = n
+    # hashes are uniform, so this part of their range holds about limit rows
+    part = F.least(F.lit(1.0), F.lit(float(limit)) / F.col("rows"))
+    cut = rows.groupBy("lang").agg(F.count("*").alias("rows")).select("lang", part.alias("part"))
+    rows = rows.join(cut, "lang").where((F.col("h").cast("double") / float(1 << 64) + 0.5) <= F.col("part"))
+    found = dict(_counts(rows))
+    languages = sorted(found)
+    counts, words = np.zeros((SLOTS, len(languages))), np.zeros((len(_NAMES), len(languages)))
+    for i, lang in enumerate(languages):
+        counts[:, i], words[:, i] = np.split(found[lang], [SLOTS])
+    allowed = words >= 0.001 * words.sum(axis=0)
     if languages:
-        allowed = words >= 0.001 * words.sum(axis=0)
         used = max(1, int((counts.sum(axis=1) > 0).sum()))
         counts = np.log((counts + _SMOOTH) / (counts.sum(axis=0) + _SMOOTH * used))
     return Model(languages, counts.astype(np.float32), allowed)
@@ -198,13 +214,15 @@ def fit(labelled: DataFrame, limit: int = FIT_DOCUMENTS) -> Model:
 def identify(documents: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (share of letters in lang_pred), and with spans the labelled spans in words.
 
-    Null text, text without letters, or a model without languages: `und`, score 0. Rows with a null doc_id keep it.
+    Null text, text without letters (marks alone are none), or a model without languages: `und`, score 0. Rows with a null
+    doc_id keep it, repeated rows repeat their result, ties go to the language first by code point. Texts are read whole, however long. An empty
+    table gives no rows. Other columns, whatever their names, are ignored.
     """
     schema = "doc_id long, lang_pred string, score double" + (", spans array<struct<first:int,past:int,lang:string>>" if spans else "")
 
     def predict(batches):
         for batch in batches:
-            for piece in pieces(batch, "text", 4 << 20):
+            for piece in pieces(batch, "text", model.bytes_at_once()):
                 label, score, parts = model.predict(piece.column("text").to_pylist())
                 columns, names = [piece.column("doc_id"), pa.array(label, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"]
                 if spans:
@@ -227,11 +245,11 @@ def language_id(documents: DataFrame) -> DataFrame:
 
 
 def in_a_language(documents: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """The documents, with all their columns, of which a language is known and holds at least that share of the letters."""
+    """The documents, with all their columns, whatever their names, of which a language is known and holds at least that share of the letters."""
 
     def keep(batches):
         for batch in batches:
-            for piece in pieces(batch, "text", 4 << 20):
+            for piece in pieces(batch, "text", model.bytes_at_once()):
                 label, score, _ = model.predict(piece.column("text").to_pylist())
                 yield piece.filter(pa.array((np.array(label, object) != "und") & (score >= least)))
 

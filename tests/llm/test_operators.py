@@ -47,6 +47,13 @@ def test_components(spark):
 # --- 1 ----------------------------------------------------------------------------------------------------------------
 
 
+def test_embeddings_of_one_id(spark):
+    a, b = [1.0, 0.0, 0.2], [0.0, 1.0, 0.1]
+    rows = [(7, a, 1), (8, a, 1), (7, b, 1), (9, b, 1), (3, [0.01, 1.0, 0.1], 1), (4, a, 2)]
+    got = sorted(map(tuple, embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == [(3, 2, 3, True), (4, 0, 4, True), (7, 1, 7, True), (7, 2, 3, False), (8, 1, 7, False), (9, 2, 3, False)]
+
+
 def brute_embeddings(rows, threshold=0.98):
     good = [(i, r) for i, r in enumerate(rows) if r[0] is not None and r[2] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and np.any(r[1])]
     links = []
@@ -469,10 +476,11 @@ def speech():
 def test_languages(spark, speech):
     rows = [(i, speech(l, 40), l, "s", 0) for i, l in enumerate(["aa", "bb", "cc"] * 40)]
     rows += [(500, None, "aa", "s", 0), (501, "", None, "s", 0), (502, "12 34 !!", "bb", "s", 0), (503, LONG, None, None, None), (None, speech("bb", 9), None, "s", 0), (504, speech("aa", 30) + ". " + speech("bb", 60), None, "s", 0)]
+    rows += [(505, "\u0301 12 \u0301\u0302 3", None, "s", 0), (506, "1\u0301", "aa", "s", 0), (507, rows[0][1], None, None, 0), (507, rows[0][1], None, None, 0)]
     df = spark.createDataFrame(rows, DOCS)
     out = {r.doc_id: r for r in langid.language_id(df).collect()}
     assert all(out[r[0]].lang_pred == r[2] for r in rows[:120])
-    assert [out[i].lang_pred for i in (500, 501, 502, None, 504)] == ["und", "und", "und", "bb", "bb"] and out[500].score == 0 and 0.5 < out[504].score < 0.8
+    assert [out[i].lang_pred for i in (500, 501, 502, None, 504, 505, 506, 507)] == ["und", "und", "und", "bb", "bb", "und", "und", "aa"] and out[500].score == 0 and 0.5 < out[504].score < 0.8
     assert all(out[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2) for d in out if d is not None)
     model = langid.fit(df.where("lang is not null"))
     spans = langid.identify(df.where("doc_id = 504"), model, spans=True).first().spans
@@ -481,6 +489,24 @@ def test_languages(spark, speech):
     assert langid.language_id(df.limit(0)).count() == 0
 
 
+def test_many_and_rare_languages(spark):
+    rng = random.Random(11)
+    tongues = [[chr(0x4E00 + 40 * i + j) for j in range(30)] for i in range(300)]
+    say = lambda i: " ".join("".join(rng.choice(tongues[i]) for _ in range(3)) for _ in range(20))
+    rows = [(i, say(i % 300), f"l{i % 300}") for i in range(1200)] + [(2000 + i, say(0), "l0") for i in range(600)]
+    df = docs(spark, rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, 20)
+    assert len(model.languages) == 300
+    got = langid.identify(df, model).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert sum(r.lang_pred == want[r.doc_id] for r in got) >= 0.98 * len(rows)
+
+
+def test_marks_belong_to_letters():
+    grams = langid.Grams(["e\u0301a 1\u0301b", "\u0301", "a\u0301\u0302"])
+    assert grams.letters.tolist() == [3, 1, 3] and grams.row.tolist() == [0, 0, 2]
+
+
 def test_path_is_the_best_one():
     rng = np.random.default_rng(2)
     model = langid.Model(["a", "b", "c"], np.zeros((1, 3), np.float32), np.ones((1, 3), bool))
