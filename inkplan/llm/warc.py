@@ -1,8 +1,9 @@
 """WARC archives of Zstandard frames: one frame per record, and the dictionary of all in a leading skippable frame.
 
 Writing: each task cuts its pages into archives of a bounded size. Reading: the dictionary comes from the leading
-skippable frame, frames are found by their own block headers, each is decoded for itself, and headers, lengths and
-digests are checked; anything wrong raises with the archive and the place.
+skippable frame (plain or compressed; an archive may do without), frames are found by their own block headers, each is
+decoded for itself, whether or not it states its size, and headers, lengths and such digests as a record has are checked;
+anything wrong raises with the archive and the place. Records of all types of WARC 1.0 and 1.1 are read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get_file, pieces, put_file, scratch, stored
+from .common import discard, get_file, pieces, put_file, scratch, stored
 
 # Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -30,6 +31,9 @@ DICTIONARY_BYTES = 16 << 10
 SAMPLE_BYTES = 1 << 20
 LEVEL = 3
 _ID = "<urn:x-page:%s>"
+_VERSIONS = (b"WARC/1.0", b"WARC/1.1")
+#: Digests that can be checked; others are taken as they stand.
+_DIGESTS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha512": hashlib.sha512, "md5": hashlib.md5}
 
 
 class WarcError(ValueError):
@@ -80,36 +84,59 @@ def _number(fields: dict[str, str], where: str) -> int:
     return int(text)
 
 
+def _checked(digest: str | None, data: bytes, what: str) -> None:
+    """Raises where a digest of a known kind, in base 32 or 16, isn't that of data."""
+    name, _, value = (digest or "").partition(":")
+    if name.lower() in _DIGESTS:
+        own = _DIGESTS[name.lower()](data).digest()
+        if value.upper().rstrip("=") != _b32(own).rstrip("=") and value.lower() != own.hex():
+            raise WarcError(f"{what} digest")
+
+
 def parse_record(data: bytes) -> dict:
-    """A checked record: type, page_id, url, payload (None for a revisit), payload_bytes, payload_digest, refers_to."""
+    """A checked record: type, id, url, date, content_type, block, and of records with an HTTP block payload and payload_bytes.
+
+    payload_digest is the record's own or, of a response without one, SHA-1; refers_to is a revisit's. A revisit's payload
+    is None, its payload_bytes those of its HTTP header. Other types have no payload (None).
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
     version, *lines = head.split(b"\r\n")
-    if not gap or version != b"WARC/1.1":
-        raise WarcError(f"no WARC/1.1 record: {data[:40]!r}")
+    if not gap or version not in _VERSIONS:
+        raise WarcError(f"no WARC record: {data[:40]!r}")
     fields = _fields(lines)
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise WarcError(f"no {name}")
+    own = fields["warc-record-id"]
     size = _number(fields, "record")
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
-        raise WarcError(f"{fields['warc-record-id']}: a block of {len(rest) - 4} bytes, {size} declared")
-    block = rest[:size]
-    if fields.get("warc-block-digest", "") != f"sha1:{_b32(hashlib.sha1(block).digest())}":
-        raise WarcError(f"{fields['warc-record-id']}: block digest")
-    http, gap, payload = block.partition(b"\r\n\r\n")
-    status, *lines = http.split(b"\r\n")
-    if not gap or not status.startswith(b"HTTP/"):
-        raise WarcError(f"{fields['warc-record-id']}: no HTTP header")
-    size, kind, digest = _number(_fields(lines), "payload"), fields["warc-type"], fields.get("warc-payload-digest", "")
-    if not digest.startswith("sha1:"):
-        raise WarcError(f"{fields['warc-record-id']}: payload digest {digest!r}")
-    if kind == "response":
-        if len(payload) != size or digest != f"sha1:{_b32(hashlib.sha1(payload).digest())}":
-            raise WarcError(f"{fields['warc-record-id']}: payload length or digest")
-    elif kind != "revisit" or payload or "warc-refers-to" not in fields:
-        raise WarcError(f"{fields['warc-record-id']}: {kind} record")
-    short = lambda name: fields[name].removeprefix("<urn:x-page:").removesuffix(">") if name in fields else None
-    return {"type": kind, "page_id": short("warc-record-id"), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest[5:], "refers_to": short("warc-refers-to")}
+        raise WarcError(f"{own}: a block of {len(rest) - 4} bytes, {size} declared")
+    block, kind, media = rest[:size], fields["warc-type"].lower(), fields.get("content-type", "")
+    _checked(fields.get("warc-block-digest"), block, f"{own}: block")
+    out = {"type": kind, "id": own, "url": fields.get("warc-target-uri"), "date": fields["warc-date"], "content_type": media, "block": block, "payload": None, "payload_bytes": None, "payload_digest": fields.get("warc-payload-digest"), "refers_to": fields.get("warc-refers-to")}
+    if kind in ("response", "revisit") and media.replace(" ", "").lower().startswith("application/http"):
+        http, gap, payload = block.partition(b"\r\n\r\n")
+        status, *lines = http.split(b"\r\n")
+        if not status.startswith(b"HTTP/") or kind == "response" and not gap:
+            raise WarcError(f"{own}: no HTTP header")
+        inner = _fields(lines) if gap or kind == "revisit" else {}
+        declared = _number(inner, "payload") if "content-length" in inner else None
+        # a body that was sent in parts or packed is stored as it was sent or as it was read; only a plain one has to have its length
+        if kind == "response" and declared not in (None, len(payload)) and not {"transfer-encoding", "content-encoding"} & set(inner):
+            raise WarcError(f"{own}: a payload of {len(payload)} bytes, {declared} declared")
+        if kind == "response":
+            _checked(out["payload_digest"], payload, f"{own}: payload")
+        elif payload:
+            raise WarcError(f"{own}: a revisit with a payload")
+        out.update(payload=payload if kind == "response" else None, payload_bytes=len(payload) if kind == "response" else declared)
+    elif kind in ("response", "resource", "conversion"):
+        _checked(out["payload_digest"], block, f"{own}: payload")
+        out.update(payload=block, payload_bytes=len(block))
+    if kind == "revisit" and out["payload_digest"] is None and out["refers_to"] is None and "warc-refers-to-target-uri" not in fields:
+        raise WarcError(f"{own}: a revisit of nothing")
+    if out["payload"] is not None and out["payload_digest"] is None:
+        out["payload_digest"] = f"sha1:{_b32(hashlib.sha1(out['payload']).digest())}"
+    return out
 
 
 # --- one archive --------------------------------------------------------------------------------------------------
@@ -149,18 +176,27 @@ def _frame_length(data: memoryview, at: int) -> int:
 
 
 def read_archive(data: bytes):
-    """Each record's bytes, one frame at a time."""
-    if len(data) < 8 or (size := struct.unpack_from("<II", data))[0] != SKIPPABLE_MAGIC or 8 + size[1] > len(data):
-        raise WarcError("no dictionary frame")
-    words = data[8 : 8 + size[1]]
-    if words[:4] == ZSTD_MAGIC:
-        words = zstandard.ZstdDecompressor().decompress(words)
-    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)).decompress
-    view, at = memoryview(data), 8 + size[1]
+    """Each record's bytes, one frame at a time. Skippable frames between them are passed over."""
+    view, at, words = memoryview(data), 0, b""
+    if len(data) >= 8 and (head := struct.unpack_from("<II", data))[0] == SKIPPABLE_MAGIC:
+        if 8 + head[1] > len(data):
+            raise WarcError("the dictionary frame is cut off")
+        at, words = 8 + head[1], data[8 : 8 + head[1]]
+        if words[:4] == ZSTD_MAGIC:
+            words = zstandard.ZstdDecompressor().decompressobj().decompress(words)
+    elif data[:4] != ZSTD_MAGIC:
+        raise WarcError("neither a dictionary frame nor a record")
+    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)) if words else zstandard.ZstdDecompressor()
     while at < len(view):
+        if at + 8 <= len(view) and (head := struct.unpack_from("<II", view, at))[0] & 0xFFFFFFF0 == 0x184D2A50:
+            at += 8 + head[1]
+            if at > len(view):
+                raise WarcError("a skippable frame is cut off")
+            continue
         length = _frame_length(view, at)
         try:
-            yield unpack(view[at : at + length])
+            # such an object needs no stated size
+            yield unpack.decompressobj().decompress(view[at : at + length])
         except zstandard.ZstdError as e:
             raise WarcError(f"frame at {at}: {e}") from e
         at += length
@@ -169,27 +205,41 @@ def read_archive(data: bytes):
 # --- tables -------------------------------------------------------------------------------------------------------
 
 
-def _digested(pages: DataFrame) -> DataFrame:
-    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("size"))
+def _record_id(page_id: int | None, url: str | None, sha1: str, again: int) -> str:
+    """Of the page, and told apart from other rows of that page: by url and payload, or by their number if these are equal too."""
+    tag = hashlib.sha1(f"{sha1} {url or ''} {again}".encode()).hexdigest()[:20]
+    return f"{'null' if page_id is None else page_id}:{tag}"
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes one record per row of pages (page_id, url, html) to folder; returns a stored table (uri, records).
 
-    Of rows with equal payloads of at least least_bytes bytes, those with the smallest page_id are responses, others
-    revisit it. Null html is an empty payload. Rows with a null page_id are responses without a number. Equal payloads
-    are told by SHA-1 and length. Only digests are shuffled to find them, and merged before.
+    Of rows with equal payloads of at least least_bytes bytes, one with the smallest page_id is a response and all others
+    revisit it: of rows that tie, that of the smallest url (null first), and of rows that are equal in all three, one. Rows
+    with a null page_id come after all others. Null html is an empty payload. Equal payloads are told by SHA-1 and length.
+    Only digests are shuffled to find them, and merged before; of texts only those of wholly equal rows. An empty table gives
+    no archives; other columns, whatever their names, are ignored.
     """
-    spark = pages.sparkSession
-    rows = _digested(pages)
-    first = rows.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id < last_id")
-    again = rows.select("page_id", "sha1", "size").join(first.select("sha1", "size", "first_id"), ["sha1", "size"]).where("page_id > first_id").select("page_id", "sha1", "first_id").distinct()
-    again = stored(again, f"{folder}/revisits")
+    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumns({"sha1": F.sha1(html), "size": F.octet_length(html).cast("long")})
+    order = F.struct(F.col("page_id").isNull().alias("nameless"), "page_id", "url")
+    same = ["page_id", "url", "sha1", "size"]
+    each = stored(rows.groupBy(*same).agg(F.count("*").alias("times")), f"{folder}/rows")
+    first = each.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.min(order).alias("first"), F.sum("times").alias("all")).where("all > 1")
+    first = first.select(F.col("sha1").alias("f_sha1"), F.col("size").alias("f_size"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.lit(True).alias("shared"))
+    first = stored(first, f"{folder}/first")
+    repeated = stored(each.where("times > 1").select(*(F.col(c).alias(f"r_{c}") for c in same), "times"), f"{folder}/repeated")
+    alike = F.expr(" and ".join(f"{c} <=> r_{c}" for c in same))
+    several = rows.join(repeated, alike).groupBy(*same, "times").agg(F.first("html").alias("html"))
+    several = several.select("page_id", "url", "html", "sha1", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("again"))
+    rows = rows.join(repeated, alike, "left_anti").withColumn("again", F.lit(0).cast("long")).unionByName(several)
+    full = rows.join(first, (F.col("sha1") == F.col("f_sha1")) & (F.col("size") == F.col("f_size")), "left")
+    is_first = F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url")) & (F.col("again") == 0)
+    full = full.select("page_id", "url", "html", "sha1", "again", "first_id", "first_url", (F.coalesce("shared", F.lit(False)) & ~is_first).alias("revisit"))
 
     def write(batches):
         part = TaskContext.get().partitionId()
-        held, size, count, nameless = [], 0, 0, 0
+        held, size, count = [], 0, 0
 
         def close():
             nonlocal held, size, count
@@ -207,58 +257,73 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
 
         for batch in batches:
             for piece in pieces(batch, "html"):
-                for page_id, url, html, first_id in zip(*(piece.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id")), strict=True):
+                for page_id, url, html, sha1, again, first_id, first_url, revisit in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                     payload = (html or "").encode()
-                    own = str(page_id) if page_id is not None else f"null-{part}-{nameless}"
-                    nameless += page_id is None
-                    held.append(record(own, url, payload, None if first_id is None else str(first_id), date))
+                    held.append(record(_record_id(page_id, url, sha1, again), url, payload, _record_id(first_id, first_url, sha1, 0) if revisit else None, date))
                     size += len(payload)
                     if size >= archive_bytes:
                         yield close()
         if held:
             yield close()
 
-    full = rows.join(again, ["page_id", "sha1"], "left").select("page_id", "url", "html", "first_id")
-    return stored(full.mapInArrow(write, "uri string, records long"), f"{folder}/archives")
+    out = stored(full.mapInArrow(write, "uri string, records long"), f"{folder}/archives")
+    for name in ("rows", "first", "repeated"):
+        discard(pages.sparkSession, f"{folder}/{name}")
+    return out
+
 
+def _page(record_id: str | None) -> int | None:
+    """The page of a record that write_archives() wrote; null for others and for pages without a number."""
+    number = (record_id or "").removeprefix("<urn:x-page:").partition(":")[0] if (record_id or "").startswith("<urn:x-page:") else ""
+    return int(number) if number.lstrip("-").isdigit() else None
 
-def read_archives(archives: DataFrame, payload: bool = False) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to; with payload also url and html (null for a revisit)."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", url string, html binary" if payload else "")
-    number = lambda x: int(x) if x is not None and not x.startswith("null") else None
+
+_COLUMNS = {
+    "page_id": (pa.int64(), lambda r: _page(r["id"])), "payload_bytes": (pa.int64(), lambda r: r["payload_bytes"]), "payload_digest": (pa.string(), lambda r: (r["payload_digest"] or "").rpartition(":")[2] or None),
+    "record_type": (pa.string(), lambda r: r["type"]), "refers_to": (pa.int64(), lambda r: _page(r["refers_to"])),
+}
+_MORE = {
+    "record_id": (pa.string(), lambda r: r["id"]), "refers_to_id": (pa.string(), lambda r: r["refers_to"]), "url": (pa.string(), lambda r: r["url"]), "warc_date": (pa.string(), lambda r: r["date"]),
+    "content_type": (pa.string(), lambda r: r["content_type"]), "html": (pa.binary(), lambda r: r["payload"]),
+}
+
+
+def read_archives(archives: DataFrame, payload: bool = False, types: tuple[str, ...] = ("response", "revisit")) -> DataFrame:
+    """Per record of these types (none given: of all): page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    archives: uri, and records where their number is known, which is then checked. page_id and refers_to are null for
+    records of other writers. With payload also record_id, refers_to_id, url, warc_date, content_type and html (the payload;
+    null for a revisit). One record is held at a time, and a file.
+    """
+    columns = _COLUMNS | (_MORE if payload else {})
+    kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    schema = ", ".join(f"{name} {kinds[kind]}" for name, (kind, _) in columns.items())
 
     def read(batches):
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, (kind, _) in columns.items()], list(columns))
         for batch in batches:
             for uri, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, seen = [], 0
-
-                def out():
-                    columns = [pa.array([number(r["page_id"]) for r in rows], pa.int64()), pa.array([r["payload_bytes"] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], pa.string()) for c in ("payload_digest", "type")), pa.array([number(r["refers_to"]) for r in rows], pa.int64())]
-                    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                    if payload:
-                        columns += [pa.array([r["url"] for r in rows], pa.string()), pa.array([r["payload"] for r in rows], pa.binary())]
-                        names += ["url", "html"]
-                    return pa.RecordBatch.from_arrays(columns, names)
-
+                rows, seen, size = [], 0, 0
                 try:
                     for data in read_archive(get_file(uri)):
                         parsed = parse_record(data)
-                        if not payload:
-                            parsed["payload"] = None
-                        rows.append(parsed)
                         seen += 1
-                        if len(rows) == 2000:
-                            yield out()
-                            rows = []
+                        if not types or parsed["type"] in types:
+                            rows.append({c: value(parsed) for c, (_, value) in columns.items()})
+                            size += len(parsed["block"]) if payload else 0
+                        if len(rows) == 2000 or size > 8 << 20:
+                            yield out(rows)
+                            rows, size = [], 0
                 except WarcError as e:
                     raise WarcError(f"{uri}, record {seen}: {e}") from e
-                if seen != count:
+                if count is not None and seen != count:
                     raise WarcError(f"{uri}: {seen} records, {count} written")
                 if rows:
-                    yield out()
+                    yield out(rows)
 
     parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return archives.select("uri", "records").repartition(parts, "uri").mapInArrow(read, schema)
+    records = F.col("records") if "records" in archives.columns else F.lit(None)
+    return archives.select("uri", records.cast("long").alias("records")).repartition(parts, "uri").mapInArrow(read, schema)
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:

@@ -343,27 +343,72 @@ def test_secrets_within_a_word(spark):
 
 
 def test_warc(spark, tmp_path):
-    pages = [(i, f"http://x/{i}\r\n", f"<p>{i % 4}</p>" * (i % 5)) for i in range(40)] + [(50, None, None), (51, "u", ""), (52, "é", LONG), (53, "é", LONG), (None, "n", LONG), (3, "again", "<p>3</p>" * 3)]
+    pages = [(i, f"http://x/{i}\r\n", f"<p>{i % 4}</p>" * (i % 5)) for i in range(40)] + [(50, None, None), (51, "u", ""), (52, "é", LONG), (53, "é", LONG), (None, "n", LONG), (3, "again", "<p>3</p>" * 3), (1, "x", "one"), (1, "x", "one"), (1, "w", "one"), (None, "x", "one"), (None, "a", "none"), (None, "a", "none"), (None, None, "none")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, size int")
     files = warc.write_archives(df, f"file://{tmp_path}/a", archive_bytes=300)
     got = sorted(((r.page_id is not None, r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(files).collect()), key=str)
-    first = {}
-    for p, _, h in pages:
-        if p is not None:
-            first[h or ""] = min(p, first.get(h or "", p))
-    want = []
-    for p, _, h in pages:
+    # the response of each payload: its least page, null last, then the least url
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")
+    want, seen = [], {}
+    for p, _, h in sorted(pages, key=order):
         data = (h or "").encode()
-        again = p is not None and first[h or ""] < p
-        want.append((p is not None, p or 0, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None))
+        again, first = (h or "") in seen, seen.setdefault(h or "", p)
+        want.append((p is not None, p or 0, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", first if again else None))
     assert got == sorted(want, key=str)
+    every = warc.read_archives(files, payload=True).collect()
+    assert len({r.record_id for r in every}) == len(pages) and {r.refers_to_id for r in every if r.refers_to_id} <= {r.record_id for r in every if r.record_type == "response"}
     payloads = {r.page_id: bytes(r.html) for r in warc.read_archives(files, payload=True).collect() if r.html is not None and r.page_id is not None}
-    assert all((h or "").encode() == payloads[p] for p, _, h in pages if p in payloads and p != 3)
+    assert all((h or "").encode() == payloads[p] for p, _, h in pages if p in payloads and p not in (1, 3))
     assert warc.archive_round_trip(df.limit(0)).count() == 0
     kept = warc.read_archives(warc.write_archives(df, f"file://{tmp_path}/b", least_bytes=20)).collect()
     assert all(r.payload_bytes >= 20 for r in kept if r.record_type == "revisit")
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    import struct
+
+    import zstandard
+
+    def made(kind, block, media, version="WARC/1.1", **fields):
+        head = [version, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{len(records)}>", "WARC-Date: 2024-01-01T00:00:00Z", f"Content-Type: {media}", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items())]
+        records.append("\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n")
+
+    records: list[bytes] = []
+    body = "<p>häuser</p>".encode()
+    made("warcinfo", b"software: other\r\n", "application/warc-fields", "WARC/1.0")
+    made("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "application/http; msgtype=request")
+    made("response", b"HTTP/1.1 200 OK\r\n\r\n" + body, "application/http; msgtype=response", WARC_Target_URI="http://x/", WARC_Payload_Digest=f"sha256:{hashlib.sha256(body).hexdigest()}")
+    made("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 3\r\n\r\n" + body, "application/http;msgtype=response", "WARC/1.0")
+    made("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", "application/http; msgtype=response", WARC_Refers_To="<urn:uuid:2>", WARC_Payload_Digest="blake3:xyz")
+    made("metadata", b"a: b\r\n", "application/warc-fields")
+    made("resource", b"text", "text/plain")
+    made("response", b"20240101 x 60 IN A 1.2.3.4", "text/dns")
+    words = warc.dictionary([r * 9 for r in records])
+    kind = zstandard.ZstdCompressionDict(words)
+
+    def frame(data, **options):
+        pack = zstandard.ZstdCompressor(**options).compressobj()
+        return pack.compress(data) + pack.flush()
+
+    packed = zstandard.ZstdCompressor().compress(words)
+    skippable = struct.pack("<II", 0x184D2A53, 5) + b"other"
+    archives = {
+        "plain": struct.pack("<II", warc.SKIPPABLE_MAGIC, len(words)) + words + b"".join(frame(r, dict_data=kind, write_content_size=False) for r in records),
+        "packed": struct.pack("<II", warc.SKIPPABLE_MAGIC, len(packed)) + packed + skippable.join(frame(r, dict_data=kind, write_checksum=True) for r in records), "without": b"".join(frame(r) for r in records),
+    }
+    for name, data in archives.items():
+        assert list(warc.read_archive(data)) == records, name
+        (tmp_path / name).write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/{name}",) for name in archives], "uri string")
+    rows = warc.read_archives(files, payload=True).collect()
+    assert Counter(r.record_type for r in rows) == {"response": 9, "revisit": 3} and all(r.page_id is None for r in rows)
+    assert Counter(bytes(r.html) for r in rows if r.html is not None)[body] == 6 and {r.payload_digest for r in rows if r.record_type == "revisit"} == {"xyz"}
+    assert warc.read_archives(files, types=()).count() == 24
+    wrong = records[2].replace(b"h\xc3\xa4user", b"h\xc3\xa4usee")
+    with pytest.raises(warc.WarcError):
+        warc.parse_record(wrong)
+
+
 def test_broken_archives():
     good = warc.write_archive([warc.record(str(i), "u", b"x" * 50, None, "2020-01-01T00:00:00Z") for i in range(5)], warc.dictionary([b"few"]))
     assert len([warc.parse_record(r) for r in warc.read_archive(good)]) == 5
@@ -371,7 +416,7 @@ def test_broken_archives():
         with pytest.raises(warc.WarcError):
             [warc.parse_record(r) for r in warc.read_archive(bad)]
     whole = warc.record("1", "u", b"payload", None, "d")
-    for bad in (whole.replace(b"payload", b"paylaad"), whole[:-1], whole.replace(b"WARC/1.1", b"WARC/9"), whole.replace(b"Content-Length: 7", b"Content-Length: 8")):
+    for bad in (whole.replace(b"payload", b"paylaad"), whole[:-1], whole.replace(b"WARC/1.1", b"WARC/9"), whole.replace(b"Content-Length: 7", b"Content-Length: 8"), whole.replace(b"WARC-Date: d\r\n", b"")):
         with pytest.raises(warc.WarcError):
             warc.parse_record(bad)
 
