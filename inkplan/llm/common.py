@@ -142,22 +142,23 @@ def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class IdFilter:
-    """A set of longs that may hold some more: 64-bit words, about 16 bits an id, 8 MB at most whatever the ids' number.
+    """A set of longs that may hold some more: four bits of one 64-bit word for each id, 8 MB at most whatever the ids' number.
 
     Beyond the four million ids that this serves well it lets more and more others through, which a join then removes.
+    spare: how many times the words that four ids a word take; the more, the fewer others pass.
     """
 
     MOST_WORDS = 1 << 20
 
-    def __init__(self, ids: DataFrame, column: str, count: int):
+    def __init__(self, ids: DataFrame, column: str, count: int, spare: int = 1):
         size = 1 << 10
-        while size * 4 < count and size < self.MOST_WORDS:
+        while size * 4 < count * spare and size < self.MOST_WORDS:
             size *= 2
 
         def words(batches):
             for batch in batches:
-                at, bit = IdFilter._place(np.asarray(batch.column(0), np.int64), size)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array((np.uint64(1) << bit).view(np.int64))], ["word", "bits"])
+                at, bits = IdFilter._place(np.asarray(batch.column(0), np.int64), size)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], ["word", "bits"])
 
         def columns(batches):
             # whole columns as bytes: the driver gets a few values, not a row for each word
@@ -174,11 +175,14 @@ class IdFilter:
     @staticmethod
     def _place(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         h = mixed(ids.view(np.uint64) + np.uint64(1))
-        return (h >> np.uint64(32)).astype(np.int64) % size, h & np.uint64(63)
+        bits = np.zeros(len(h), np.uint64)
+        for i in range(4):
+            bits |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
+        return (h >> np.uint64(32)).astype(np.int64) % size, bits
 
     def holds(self, ids: np.ndarray) -> np.ndarray:
-        at, bit = self._place(ids, len(self.bits))
-        return (self.bits[at] >> bit & np.uint64(1)).astype(bool)
+        at, bits = self._place(ids, len(self.bits))
+        return self.bits[at] & bits == bits
 
 
 class Words:
