@@ -106,5 +106,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+# Links by brute force; each vector is a row of its own, named by its place.
+_OP1_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.i AS a, b.i AS b FROM ok a JOIN ok b ON a.label = b.label AND a.i <> b.i AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT i, i FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT reach.a AS i, min(v.vec_id) AS component_id FROM reach JOIN v ON v.i = reach.b GROUP BY reach.a),
+many AS (SELECT a AS i, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(many.n, 0) AS BIGINT) AS n_links, least.component_id, v.vec_id IS NOT DISTINCT FROM least.component_id AS kept
+FROM v JOIN least ON least.i = v.i LEFT JOIN many ON many.i = v.i
+"""
+
+# formatted_chars by counting: marks of the template, percent signs of roles, and what escaping adds where a text holds a control string.
+_OP3_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, len(regexp_extract_all(text, '\[/?INST|\[OUT\]|</s>|<s:')) AS controls, length(text) - length(replace(text, chr(92), '')) AS slashes FROM c),
+e AS (SELECT conv_id, bool_or(controls > 0) AS escaped FROM t GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(5 + sum(length(text) + CASE WHEN role = 'assistant' THEN 10 ELSE 15 + length(replace(url_encode(role), '%20', '+')) END + CASE WHEN escaped THEN controls + slashes ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM t JOIN e USING (conv_id) GROUP BY conv_id
+"""
+
+_OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS x FROM d),
+n AS (SELECT doc_id, len(x) AS n_shingles FROM s),
+r AS (SELECT doc_id, unnest(x) AS t FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.t = b.t AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          WHERE 10 * na.n_shingles >= 9 * nb.n_shingles AND 10 * nb.n_shingles >= 9 * na.n_shingles
+          GROUP BY a.doc_id, b.doc_id, na.n_shingles, nb.n_shingles HAVING 100 * count(*) >= 90 * (na.n_shingles + nb.n_shingles - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT n.doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, min(reach.b) AS component_id FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n_shingles
+"""
+
+# Base 32 of a SHA-1: 20 bits of the hex digest are four digits.
+_OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2_SQL}
+    return {"op1_embedding_near_dedup": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op3_chat_format": _OP3_SQL, "op5_jaccard_join": _OP5_SQL, "op7_warc": _OP7_SQL}
