@@ -43,15 +43,25 @@ def encode(contexts: np.ndarray, bits: np.ndarray) -> bytes:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         first = key[starts]
         state = bytearray((int(first.max()) >> 1) + 1)
-        runs = zip((first >> 1).tolist(), (first & 1).tolist(), np.diff(np.append(starts, len(key))).tolist(), strict=True)
+        runs = zip(first.tolist(), np.diff(np.append(starts, len(key))).tolist(), strict=True)
     else:
         state, runs = bytearray(), ()
     q_of, likely_next, other_next = _Q, _AFTER_LIKELY, _AFTER_OTHER
-    for x, bit, n in runs:
+    # per context and bit: the estimate if the bit is the likely one, else 0; states change only where the interval is renormalised
+    likely = [_Q[0], 0] * len(state)
+    for k, n in runs:
+        q = likely[k]
+        if q:
+            rest = a - n * q
+            if rest >= 0x8000:
+                c += a - rest
+                a = rest
+                continue
+        x = k >> 1
         while n:
             s = state[x]
-            q = q_of[s]
-            if s & 1 == bit:
+            q = likely[k]
+            if q:
                 free = (a - 0x8000) // q
                 if free >= n:
                     a -= n * q
@@ -64,15 +74,22 @@ def encode(contexts: np.ndarray, bits: np.ndarray) -> bytes:
                     a = q
                 else:
                     c += q
-                state[x] = likely_next[s]
+                s = likely_next[s]
             else:
                 n -= 1
+                q = q_of[s]
                 a -= q
                 if a < q:
                     c += q
                 else:
                     a = q
-                state[x] = other_next[s]
+                s = other_next[s]
+            state[x] = s
+            other = k ^ 1
+            if s & 1 == k & 1:
+                likely[k], likely[other] = q_of[s], 0
+            else:
+                likely[k], likely[other] = 0, q_of[s]
             shift = 16 - a.bit_length()
             a <<= shift
             while shift >= left:
@@ -134,10 +151,17 @@ def neighbours(page: np.ndarray) -> np.ndarray:
     h, w = page.shape
     wide = np.zeros((h + 2, w + 8), np.uint16)
     wide[2:, 4 : w + 4] = page
-    out = np.zeros((h, w), np.uint16)
-    for row, spread in ((0, range(-2, 3)), (1, range(-3, 4)), (2, range(-4, 0))):
-        for dx in spread:
-            out = out << 1 | wide[row : row + h, 4 + dx : 4 + dx + w]
+    # pair[x]: the pixels x and x + 1; four[x]: x to x + 3
+    pair = wide[:, :-1] << 1
+    pair |= wide[:, 1:]
+    four = pair[:, :-2] << 2
+    four |= pair[:, 2:]
+    out = four[:h, 2 : w + 2] << 12
+    out |= wide[:h, 6 : w + 6] << 11
+    out |= four[1 : h + 1, 1 : w + 1] << 7
+    out |= pair[1 : h + 1, 5 : w + 5] << 5
+    out |= wide[1 : h + 1, 7 : w + 7] << 4
+    out |= four[2:, :w]
     return out
 
 

@@ -38,51 +38,96 @@ def runs(page: np.ndarray) -> np.ndarray:
 def labels(found: np.ndarray, eight: bool = True) -> np.ndarray:
     """For each run, the first run (in raster order) of its component."""
     reach, n = int(eight), len(found)
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    if n:
-        y, left, right = (found[:, k] for k in range(3))
-        # runs of the row above that a run touches are consecutive
-        span = int(right.max()) + 3
-        low = np.searchsorted((y * span + right), (y - 1) * span + left - reach, "left")
-        high = np.searchsorted((y * span + left), (y - 1) * span + right + reach, "right")
-        touched = np.flatnonzero(high > low)
-        for i, a, b in zip(touched.tolist(), low[touched].tolist(), high[touched].tolist(), strict=True):
-            for j in range(a, b):
-                p, q = root(i), root(j)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-    return np.array([root(i) for i in range(n)], np.int64)
+    label = np.arange(n)
+    if not n:
+        return label
+    y, left, right = (found[:, k].astype(np.int64) for k in range(3))
+    # runs of the row above that a run touches are consecutive
+    span = int(right.max()) + 3
+    low = np.searchsorted((y * span + right), (y - 1) * span + left - reach, "left")
+    high = np.searchsorted((y * span + left), (y - 1) * span + right + reach, "right")
+    many = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(n), many)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + low[a]
+    while len(a):
+        # every root takes the least root that it touches; then all point at their roots again
+        p, q = label[a], label[b]
+        apart = p != q
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def page_runs(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of several pages below each other, a row apart so that none touches another; the page of each run; each page's first row."""
+    found = [runs(p) for p in pages]
+    heights = np.array([p.shape[0] + 2 for p in pages], np.int64)
+    tops = np.cumsum(heights) - heights
+    own = np.repeat(np.arange(len(pages)), [len(f) for f in found])
+    every = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    every[:, 0] += tops[own]
+    return every, own, tops
+
+
+def component_counts(pages: list[np.ndarray], eight: bool = True) -> np.ndarray:
+    """Components of each page."""
+    found, own, _ = page_runs(pages)
+    return np.bincount(own[labels(found, eight) == np.arange(len(found))], minlength=len(pages))
 
 
 def count_components(page: np.ndarray, eight: bool = True) -> int:
-    return len(np.unique(labels(runs(page), eight)))
+    return int(component_counts([page], eight)[0])
 
 
-def components(page: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(x, y, tight bitmap) of each 8-connected shape, in raster order of first pixels."""
-    found = runs(page)
-    if not len(found):
-        return []
+def component_table(pages: list[np.ndarray], bitmaps: bool = True) -> dict[str, np.ndarray]:
+    """Every 8-connected shape of the pages, page by page in raster order of first pixels, as columns.
+
+    page, number (on its page), x, y, w, h, area, cx, cy (the centroid from the corner of the bordered shape) and, if asked
+    for, bits: a list of tight bitmaps.
+    """
+    found, own, tops = page_runs(pages)
     label = labels(found)
     order = np.argsort(label, kind="stable")
-    out = []
-    for own in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-        part = found[own]
-        x, y = int(part[:, 1].min()), int(part[0, 0])
-        bits = np.zeros((int(part[-1, 0]) - y + 1, int(part[:, 2].max()) - x + 1), np.uint8)
-        for r, a, b in part.tolist():
-            bits[r - y, a - x : b - x + 1] = 1
-        out.append((x, y, bits))
+    label = label[order]
+    first = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])) if len(label) else np.zeros(0, np.int64)
+    if not len(first):
+        empty = np.zeros(0, np.int64)
+        return {c: empty for c in ("page", "number", "x", "y", "w", "h", "area")} | {"cx": np.zeros(0, np.float32), "cy": np.zeros(0, np.float32), "bits": []}
+    y, left, right = found[order].T.astype(np.int64)
+    page = own[order][first]
+    out = {"page": page, "number": np.arange(len(first)) - np.searchsorted(page, page), "x": np.minimum.reduceat(left, first), "y": np.minimum.reduceat(y, first)}
+    out["w"], out["h"] = np.maximum.reduceat(right, first) + 1 - out["x"], np.maximum.reduceat(y, first) + 1 - out["y"]
+    count = np.diff(np.append(first, len(order)))
+    x0, y0, n = np.repeat(out["x"], count), np.repeat(out["y"], count), right - left + 1
+    out["area"] = np.add.reduceat(n, first)
+    xs = np.add.reduceat(n * (left + right - 2 * x0 + 2 * BORDER) // 2, first)
+    ys = np.add.reduceat(n * (y - y0 + BORDER), first)
+    area = out["area"].astype(np.float32)
+    out["cx"], out["cy"] = xs.astype(np.float32) / area, ys.astype(np.float32) / area
+    large = np.flatnonzero(np.maximum(xs, ys) >= 1 << 24)
+    if bitmaps or len(large):
+        # all bitmaps lie end to end; each run is filled by the places of its pixels
+        size = out["w"] * out["h"]
+        begin = np.cumsum(size) - size
+        flat = np.zeros(int(size.sum()), np.uint8)
+        start = np.repeat(begin, count) + (y - y0) * np.repeat(out["w"], count) + left - x0
+        flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = 1
+        cut = lambda i: flat[begin[i] : begin[i] + size[i]].reshape(out["h"][i], out["w"][i])
+        for i in large.tolist():
+            _, out["cx"][i], out["cy"][i] = measure(cut(i))
+        out["bits"] = [cut(i) for i in range(len(first))] if bitmaps else []
+    out["y"] = out["y"] - tops[page]
     return out
 
 
+def components(page: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(x, y, tight bitmap) of each 8-connected shape, in raster order of first pixels."""
+    found = component_table([page])
+    return list(zip(found["x"].tolist(), found["y"].tolist(), found["bits"], strict=True))
+
+
 def measure(bits: np.ndarray) -> tuple[int, np.float32, np.float32]:
     """Ink, and the centroid from the corner of the bordered shape. Sums are exact below 2 ** 24, above in order of rows from below."""
     area = int(bits.sum())
@@ -119,21 +164,24 @@ def overlap(a: np.ndarray, b: np.ndarray, dx: int, dy: int) -> int:
     return int((a[y0:y1, x0:x1] & b[y0 - dy : y1 - dy, x0 - dx : x1 - dx]).sum()) if y0 < y1 and x0 < x1 else 0
 
 
-def best_shift(page: np.ndarray, x: int, y: int, template: np.ndarray) -> tuple[int, int]:
-    """The move by at most a pixel that differs least from the page under a bordered template at (x, y); the first of equals."""
-    h, w = template.shape[0] + 2 * BORDER, template.shape[1] + 2 * BORDER
-    window = np.zeros((h, w), np.uint8)
-    top, left = y - BORDER, x - BORDER
+def window(page: np.ndarray, x: int, y: int, template: np.ndarray) -> np.ndarray:
+    """The page under a bordered template at (x, y), white outside; a pixel wider than the template on all sides."""
+    top, left, h, w = y - 1, x - 1, template.shape[0] + 2, template.shape[1] + 2
     y0, y1, x0, x1 = max(top, 0), min(top + h, page.shape[0]), max(left, 0), min(left + w, page.shape[1])
+    if (y0, y1, x0, x1) == (top, top + h, left, left + w):
+        return page[y0:y1, x0:x1]
+    out = np.zeros((h, w), np.uint8)
     if y0 < y1 and x0 < x1:
-        window[y0 - top : y1 - top, x0 - left : x1 - left] = page[y0:y1, x0:x1]
-    ink, own, best = int(window.sum()), int(template.sum()), None
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            both = overlap(window, template, BORDER + dx, BORDER + dy)
-            if best is None or ink + own - 2 * both < best[0]:
-                best = ink + own - 2 * both, dx, dy
-    return best[1], best[2]
+        out[y0 - top : y1 - top, x0 - left : x1 - left] = page[y0:y1, x0:x1]
+    return out
+
+
+def best_shift(under: np.ndarray, template: np.ndarray) -> tuple[int, int]:
+    """The move by at most a pixel that differs least from the window under a template; the first of equals."""
+    # the ink of both is the same for every move: the one that shares most differs least
+    moves = np.lib.stride_tricks.sliding_window_view(under, template.shape)
+    best = int((moves & template).sum(axis=(2, 3)).argmax())
+    return best % 3 - 1, best // 3 - 1
 
 
 def _cuts(size: int) -> np.ndarray:

@@ -26,7 +26,8 @@ class Shape:
 
 
 def shapes_of(page_no: int, page: np.ndarray) -> list[Shape]:
-    return [Shape(page_no, x, y, bits, *shapes.measure(bits)) for x, y, bits in shapes.components(page)]
+    found = shapes.component_table([page])
+    return [Shape(page_no, *row) for row in zip(found["x"].tolist(), found["y"].tolist(), found["bits"], found["area"].tolist(), found["cx"], found["cy"], strict=True)]
 
 
 @dataclass
@@ -38,6 +39,8 @@ class Classes:
     templates: list[Shape] = field(default_factory=list)
     by_size: dict[tuple[int, int], list[int]] = field(default_factory=dict)
     members: list[Shape] = field(default_factory=list)
+    #: Bitmaps that matched a template of their own size: templates that come later can't be found before it.
+    known: dict[tuple[int, int, bytes], int] = field(default_factory=dict)
 
     def match(self, shape: Shape) -> int:
         h, w = shape.bits.shape
@@ -52,16 +55,28 @@ class Classes:
     def add_page(self, page_no: int, page: np.ndarray) -> None:
         own = shapes_of(page_no, page)
         for shape in own:
+            name = (*shape.bits.shape, shape.bits.tobytes())
+            shape.kind = self.known.get(name, -1)
+            if shape.kind >= 0:
+                continue
             shape.kind = self.match(shape)
             if shape.kind < 0:
                 shape.kind = len(self.templates)
                 self.templates.append(shape)
                 self.by_size.setdefault(shape.bits.shape[::-1], []).append(shape.kind)
+                if self.match(shape) == shape.kind:
+                    self.known[name] = shape.kind
+            elif self.templates[shape.kind].bits.shape == shape.bits.shape:
+                self.known[name] = shape.kind
+        # the same template over the same pixels is placed alike
+        moves: dict[tuple[int, bytes], tuple[int, int]] = {}
         for shape in own:
             template = self.templates[shape.kind]
             x, y = shape.x - shapes.away(template.cx - shape.cx), shape.y - shapes.away(template.cy - shape.cy)
-            dx, dy = shapes.best_shift(page, x, y, template.bits)
-            shape.left, shape.top = x + dx, y + dy
+            under = shapes.window(page, x, y, template.bits)
+            if (move := moves.get(name := (shape.kind, under.tobytes()))) is None:
+                move = moves[name] = shapes.best_shift(under, template.bits)
+            shape.left, shape.top = x + move[0], y + move[1]
         self.members += own
 
     def renumber(self, new: list[int], templates: list[Shape]) -> None:

@@ -241,21 +241,21 @@ own AS (SELECT doc_id, id, min(root) AS root FROM lab GROUP BY doc_id, id)"""
 
 @query("component_bbox", f"+ {_COMP.format(reach=1)} SELECT own.doc_id, dense_rank() OVER (PARTITION BY own.doc_id ORDER BY own.root) - 1 AS comp_no, min(l) AS x, min(y) AS y, max(r) - min(l) + 1 AS w, max(y) - min(y) + 1 AS h, CAST(sum(r - l + 1) AS BIGINT) AS area FROM own JOIN rid ON rid.doc_id = own.doc_id AND rid.id = own.id GROUP BY own.doc_id, own.root", "codes", "px")
 def component_bbox(spark, sf_dir):
-    return components.components(fx.doc_pages(spark, sf_dir, fx.BLANK)).select("doc_id", "comp_no", "x", "y", "w", "h", "area")
+    return components.components(fx.doc_pages(spark, sf_dir, fx.BLANK), packed=False).select("doc_id", "comp_no", "x", "y", "w", "h", "area")
 
 
 for _name, _reach in (("four", 0), ("eight", 1)):
 
     def _count(spark, sf_dir, name=_name):
         found = components.component_counts(fx.doc_pages(spark, sf_dir, fx.BLANK))
-        return found.where(F.col(name) > 0).select("doc_id", F.col(name).alias("components"))
+        return found.select("doc_id", F.col(name).alias("components"))
 
-    query(f"component_count_{_name}", f"+ {_COMP.format(reach=_reach)} SELECT doc_id, count(DISTINCT root) AS components FROM own GROUP BY doc_id", "codes", "px")(_count)
+    query(f"component_count_{_name}", f"+ {_COMP.format(reach=_reach)} SELECT codes.doc_id, count(DISTINCT root) AS components FROM codes LEFT JOIN own ON own.doc_id = codes.doc_id GROUP BY codes.doc_id", "codes", "px")(_count)
 
 
 @query("centroids", f"+ {_COMP.format(reach=1)}, pxs AS (SELECT own.doc_id, own.root, y, unnest(range(l, r + 1)) AS x FROM own JOIN rid ON rid.doc_id = own.doc_id AND rid.id = own.id), o AS (SELECT doc_id, root, min(x) AS x0, min(y) AS y0, count(*) AS area, sum(x) AS sx, sum(y) AS sy FROM pxs GROUP BY doc_id, root) SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY root) - 1 AS comp_no, area, CAST(CAST(sx + area * (6 - x0) AS FLOAT) / CAST(area AS FLOAT) AS FLOAT) AS cx, CAST(CAST(sy + area * (6 - y0) AS FLOAT) / CAST(area AS FLOAT) AS FLOAT) AS cy FROM o", "codes", "px")
 def centroids(spark, sf_dir):
-    return components.components(fx.doc_pages(spark, sf_dir, fx.BLANK)).select("doc_id", "comp_no", "area", "cx", "cy")
+    return components.components(fx.doc_pages(spark, sf_dir, fx.BLANK), packed=False).select("doc_id", "comp_no", "area", "cx", "cy")
 
 
 @query("down_counts", f"SELECT doc_id, y, CAST(sum(({_INK})::INT) AS BIGINT) AS n, CAST(coalesce(sum(sum(({_INK})::INT)) OVER (PARTITION BY doc_id ORDER BY y DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS below FROM px GROUP BY doc_id, y", "codes", "px")
@@ -481,8 +481,8 @@ def encode_lossy(spark, sf_dir):
 
 @query("encode_pdf")
 def encode_pdf(spark, sf_dir):
-    done = document.encode_lossy(fx.event_pages(spark, sf_dir), Encoding(mode="lossy", output="embedded", merge=True))
-    return done.select("doc_id", F.octet_length("globals").cast("long").alias("globals"), F.size("pages").cast("long").alias("pages"), F.aggregate("pages", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p)).alias("bytes"))
+    done = document.encode(fx.event_pages(spark, sf_dir), Encoding(mode="lossy", output="embedded", merge=True))
+    return document.pdf_file(done).select("doc_id", F.octet_length("file").cast("long").alias("bytes"), F.sha2("file", 256).alias("sha256"))
 
 
 @query("classify")
