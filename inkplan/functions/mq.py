@@ -148,20 +148,33 @@ def symbol_id(length: int, value: int) -> tuple[list[int], list[int]]:
 
 def neighbours(page: np.ndarray) -> np.ndarray:
     """Generic region context of every pixel: five of the row two above, seven of the row above, four to the left."""
-    h, w = page.shape
-    wide = np.zeros((h + 2, w + 8), np.uint16)
-    wide[2:, 4 : w + 4] = page
-    # pair[x]: the pixels x and x + 1; four[x]: x to x + 3
-    pair = wide[:, :-1] << 1
-    pair |= wide[:, 1:]
-    four = pair[:, :-2] << 2
-    four |= pair[:, 2:]
-    out = four[:h, 2 : w + 2] << 12
-    out |= wide[:h, 6 : w + 6] << 11
-    out |= four[1 : h + 1, 1 : w + 1] << 7
-    out |= pair[1 : h + 1, 5 : w + 5] << 5
-    out |= wide[1 : h + 1, 7 : w + 7] << 4
-    out |= four[2:, :w]
+    wide = np.zeros((page.shape[0] + 2, page.shape[1]), np.uint8)
+    wide[2:] = page
+    return neighbours_of(wide[:-2], wide[1:-1], page)
+
+
+def neighbours_of(two_above: np.ndarray, above: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """The same for rows with the two that stand above each."""
+
+    def steps(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Single pixels, pairs (x and x + 1) and fours (x to x + 3), from four pixels left of the row on."""
+        wide = np.zeros((rows.shape[0], rows.shape[1] + 8), np.uint16)
+        wide[:, 4:-4] = rows
+        pair = wide[:, :-1] << 1
+        pair |= wide[:, 1:]
+        four = pair[:, :-2] << 2
+        four |= pair[:, 2:]
+        return wide, pair, four
+
+    w = page.shape[1]
+    wide, _, four = steps(two_above)
+    out = four[:, 2 : w + 2] << 12
+    out |= wide[:, 6 : w + 6] << 11
+    wide, pair, four = steps(above)
+    out |= four[:, 1 : w + 1] << 7
+    out |= pair[:, 5 : w + 5] << 5
+    out |= wide[:, 7 : w + 7] << 4
+    out |= steps(page)[2][:, :w]
     return out
 
 

@@ -108,7 +108,7 @@ def black_count(words: Column) -> Column:
 def packed(bits: Column) -> Column:
     """Array of 0/1 pixels to 32-bit words, the last padded with white."""
     count = F.ceil(F.size(bits) / F.lit(32)).cast("int")
-    one = lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.lit(0).cast("long"), lambda w, i: w * 2 + F.coalesce(F.get(bits, k * 32 + i - 1), F.lit(0)).cast("long"))
+    one = lambda k: F.conv(F.rpad(F.array_join(F.slice(bits, k * 32 + 1, F.lit(32)), ""), 32, "0"), 2, 10).cast("long")
     return F.transform(F.sequence(F.lit(0), count - 1), one)
 
 

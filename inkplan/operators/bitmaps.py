@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,12 +91,28 @@ def runs(pixels: DataFrame, by: list[str]) -> DataFrame:
     return pixels.withColumn("island", F.col("x") - F.row_number().over(row)).groupBy(*by, "y", "island").agg(F.min("x").alias("l"), F.max("x").alias("r")).drop("island")
 
 
+def _pixels(words: pa.Array, width: int) -> np.ndarray:
+    """Arrays of words to rows of 0 and 1."""
+    flat = np.asarray(words.flatten(), np.int64).astype(">u4")
+    return np.unpackbits(flat.view(np.uint8).reshape(len(words), -1), axis=1, count=width)
+
+
 def runs_of_rows(rows: DataFrame, width: int, by: list[str]) -> DataFrame:
-    """The same from rows of words, without pixels: edges are where a row differs from itself moved by one pixel."""
-    bits = scalar.unpacked(F.col("words"), F.lit(width))
-    edge = lambda d: F.filter(F.transform("bits", lambda b, x: F.when((b == 1) & (F.coalesce(F.get("bits", x + d), F.lit(0)) == 0), x)), lambda x: x.isNotNull())
-    found = F.explode(F.arrays_zip(edge(-1).alias("l"), edge(1).alias("r")))
-    return rows.withColumn("bits", bits).select(*by, "y", found.alias("run")).select(*by, "y", F.col("run.l").cast("long").alias("l"), F.col("run.r").cast("long").alias("r"))
+    """The same from rows of words, without pixels as rows: a narrow pass over Arrow batches."""
+    from inkplan.functions import shapes
+
+    names = [*by, "y"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 65_536):
+                part = batch.slice(at, 65_536)
+                found = shapes.runs(_pixels(part.column("words"), width))
+                own = pa.array(found[:, 0])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(own) for c in names), pa.array(found[:, 1], pa.int64()), pa.array(found[:, 2], pa.int64())], [*names, "l", "r"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*names, "words").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", l long, r long")
 
 
 def typical_rows(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -109,8 +127,20 @@ def context_counts(rows: DataFrame, width: int, by: list[str]) -> DataFrame:
     """How often each generic-region context meets each bit: five pixels two rows up, seven above, four to the left."""
     order = Window.partitionBy(*by).orderBy("y")
     blank = F.transform("words", lambda w: F.lit(0).cast("long"))
-    above = rows.withColumn("a", F.coalesce(F.lag("words", 1).over(order), blank)).withColumn("b", F.coalesce(F.lag("words", 2).over(order), blank))
-    at = above.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    field = lambda c, d, n: F.shiftright(scalar.word_window(F.col(c), F.lit(width), F.col("x") + d), 32 - n)
-    context = field("b", -2, 5) * 2048 + field("a", -3, 7) * 16 + field("words", -4, 4)
-    return at.select(context.alias("context"), scalar.pixel(F.col("words"), F.col("x")).alias("bit")).groupBy("context", "bit").agg(F.count("*").alias("n"))
+    above = rows.select("words", F.coalesce(F.lag("words", 1).over(order), blank).alias("a"), F.coalesce(F.lag("words", 2).over(order), blank).alias("b"))
+
+    def run(batches):
+        from inkplan.functions import mq
+
+        total = np.zeros(1 << 17, np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), 65_536):
+                part = batch.slice(at, 65_536)
+                own, *others = (_pixels(part.column(c), width) for c in ("words", "a", "b"))
+                key = mq.neighbours_of(*others[::-1], own).astype(np.int64) << 1 | own
+                total += np.bincount(key.reshape(-1), minlength=len(total))
+        key = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(key & 1), pa.array(total[key])], ["context", "bit", "n"])
+
+    # counted per partition first
+    return above.mapInArrow(run, "context long, bit long, n long").groupBy("context", "bit").agg(F.sum("n").alias("n"))

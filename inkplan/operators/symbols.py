@@ -51,13 +51,29 @@ def text_order(instances: DataFrame, by: list[str]) -> DataFrame:
 
 def strip_deltas(instances: DataFrame, by: list[str]) -> DataFrame:
     """Adds dt (from the strip above, at the first of a strip) and ds: from the first of the strip above, or from the end of the symbol before."""
-    strip = Window.partitionBy(*by, "ll_y").orderBy("ll_x", "comp_no")
-    page = Window.partitionBy(*by).orderBy("ll_y")
-    first = instances.withColumn("n", F.row_number().over(strip))
-    heads = first.where("n = 1").select(*by, "ll_y", (F.col("ll_y") - F.coalesce(F.lag("ll_y").over(page), F.lit(0).cast("long"))).alias("dt"), (F.col("ll_x") - F.coalesce(F.lag("ll_x").over(page), F.lit(0).cast("long"))).alias("first_ds"))
-    step = F.col("ll_x") - (F.lag("ll_x").over(strip) + F.lag("w").over(strip) - 1)
-    inner = first.withColumn("step", step).join(heads, [*by, "ll_y"])
-    return inner.withColumn("ds", F.when(F.col("n") == 1, F.col("first_ds")).otherwise(F.col("step"))).withColumn("dt", F.when(F.col("n") == 1, F.col("dt"))).drop("n", "step", "first_ds")
+    # one sort: the first of a strip is where ll_y changes, and the one before it is the last such place
+    order = Window.partitionBy(*by).orderBy("ll_y", "ll_x", "comp_no")
+    earlier, zero = order.rowsBetween(Window.unboundedPreceding, -1), F.lit(0).cast("long")
+    rows = instances.withColumns({"__y": F.lag("ll_y").over(order), "__end": F.lag(F.col("ll_x") + F.col("w") - 1).over(order)})
+    rows = rows.withColumn("__new", F.coalesce(F.col("__y") != F.col("ll_y"), F.lit(True)))
+    before = F.last(F.when(F.col("__new"), F.col("ll_x")), ignorenulls=True).over(earlier)
+    ds = F.when(F.col("__new"), F.col("ll_x") - F.coalesce(before, zero)).otherwise(F.col("ll_x") - F.col("__end"))
+    return rows.withColumns({"dt": F.when(F.col("__new"), F.col("ll_y") - F.coalesce("__y", zero)), "ds": ds}).drop("__y", "__end", "__new")
+
+
+def class_ids(instances: DataFrame, by: list[str]) -> DataFrame:
+    """by, class_no, id of every class: of the shared dictionary, or of its page's own, counted on from it.
+
+    The classes of a document are few; everything but one aggregation is done on them. A class of one page alone is
+    used once, so its page is known. Shared classes are ordered by height, width and number, others by height, width and component.
+    """
+    classes = instances.groupBy(*by, "class_no").agg(F.count("*").alias("uses"), F.min("page_no").alias("page"), F.max("page_no").alias("last"), F.min("comp_no").alias("comp"), F.first("w").alias("w"), F.first("h").alias("h"))
+    document = Window.partitionBy(*by)
+    classes = classes.withColumn("common", (F.col("uses") > 1) | (F.min("page").over(document) == F.max("last").over(document)))
+    classes = classes.withColumn("count", F.sum(F.col("common").cast("long")).over(document))
+    own = lambda a, b: F.when(F.col("common"), a).otherwise(b)
+    place = F.row_number().over(Window.partitionBy(*by, "common", own(F.lit(-1).cast("long"), F.col("page"))).orderBy("h", "w", own(F.col("class_no"), F.col("comp")))) - 1
+    return classes.select(*by, "class_no", (place + own(F.lit(0).cast("long"), F.col("count"))).cast("long").alias("id"))
 
 
 def symbol_ids(instances: DataFrame, global_ids: DataFrame, local_ids: DataFrame, by: list[str]) -> DataFrame:
@@ -86,20 +102,20 @@ def shift_between(a: str, b: str):
 def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """pairs (a, b, dx, dy, anything else) with both: ink of bitmap a that bitmap b, moved by (dx, dy), shares.
 
-    rows: key, y, word - bitmaps of up to 32 columns. Equi-joins on bitmap and row alone; counts are merged before the shuffle.
+    rows: key, y, words - bitmaps of any width. Equi-joins on bitmap and row alone; counts are merged before the shuffle.
     """
-    left = rows.select(F.col("key").alias("a"), "y", F.col("word").alias("p"))
-    right = rows.select(F.col("key").alias("b"), F.col("y").alias("yb"), F.col("word").alias("q"))
-    dx = F.col("dx").cast("int")
-    shifted = F.when(dx >= 0, F.call_function("shiftright", "q", F.greatest(dx, F.lit(0)))).otherwise(F.call_function("shiftleft", "q", F.greatest(-dx, F.lit(0))).bitwiseAND(F.lit(0xFFFFFFFF)))
+    left = rows.select(F.col("key").alias("a"), "y", F.col("words").alias("p"))
+    right = rows.select(F.col("key").alias("b"), F.col("y").alias("yb"), F.col("words").alias("q"))
     met = pairs.join(left, "a").withColumn("yb", F.col("y") - F.col("dy")).join(right, ["b", "yb"])
-    count = met.groupBy(*pairs.columns).agg(F.sum(F.bit_count(F.col("p").bitwiseAND(shifted)).cast("long")).alias("both"))
+    shifted = lambda k: scalar.word_window(F.col("q"), F.size("q"), k * 32 - F.col("dx"))
+    common = F.aggregate(F.sequence(F.lit(0), F.size("p") - 1), F.lit(0).cast("long"), lambda n, k: n + F.bit_count(F.get("p", k).bitwiseAND(shifted(k))).cast("long"))
+    count = met.groupBy(*pairs.columns).agg(F.sum(common).alias("both"))
     return pairs.join(count, pairs.columns, "left").withColumn("both", F.coalesce("both", F.lit(0).cast("long")))
 
 
 def correlated(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """overlaps() with both inks and match: whether both ** 2 reaches threshold (single precision) times the product of the inks."""
-    ink = rows.groupBy("key").agg(F.sum(F.bit_count("word").cast("long")).alias("ink"))
+    ink = rows.groupBy("key").agg(F.sum(scalar.black_count(F.col("words"))).alias("ink"))
     found = overlaps(pairs, rows).join(ink.select(F.col("key").alias("a"), F.col("ink").alias("ink_a")), "a").join(ink.select(F.col("key").alias("b"), F.col("ink").alias("ink_b")), "b")
     need = F.ceil(F.sqrt(F.lit(threshold).cast("float").cast("double") * F.col("ink_a") * F.col("ink_b"))).cast("long")
     return found.withColumn("match", F.col("both") >= need)

@@ -342,10 +342,20 @@ def strip_deltas(spark, sf_dir):
 cn AS (SELECT doc_id, count(*) AS c FROM di GROUP BY doc_id)
 SELECT g.doc_id, g.comp_no, coalesce(di.id, lo.id + coalesce(cn.c, 0)) AS id FROM glyphs g LEFT JOIN di ON di.doc_id = g.doc_id AND di.class_no = g.class_no LEFT JOIN lo ON lo.doc_id = g.doc_id AND lo.page_no = g.page_no AND lo.class_no = g.class_no LEFT JOIN cn ON cn.doc_id = g.doc_id""", "glyphs")
 def symbol_ids(spark, sf_dir):
+    own = fx.glyphs(spark, sf_dir)
+    return own.join(sym.class_ids(own, ["doc_id"]), ["doc_id", "class_no"]).select("doc_id", "comp_no", "id")
+
+
+@query("symbol_ids_of_tables", f"""+ {_DICT}, lo AS (SELECT g.doc_id, g.page_no, g.class_no, w, h, row_number() OVER (PARTITION BY g.doc_id, g.page_no ORDER BY h, w, comp_no) - 1 AS id FROM glyphs g LEFT JOIN sh ON sh.doc_id = g.doc_id AND sh.class_no = g.class_no WHERE sh.doc_id IS NULL),
+cn AS (SELECT doc_id, count(*) AS c FROM di GROUP BY doc_id)
+SELECT g.doc_id, g.class_no, g.page_no, min(coalesce(di.id, lo.id + coalesce(cn.c, 0))) AS id FROM glyphs g LEFT JOIN di ON di.doc_id = g.doc_id AND di.class_no = g.class_no LEFT JOIN lo ON lo.doc_id = g.doc_id AND lo.page_no = g.page_no AND lo.class_no = g.class_no LEFT JOIN cn ON cn.doc_id = g.doc_id GROUP BY ALL""", "glyphs")
+def symbol_ids_of_tables(spark, sf_dir):
+    """The ids of classes on pages, from dictionaries given as tables."""
     own = fx.glyphs(spark, sf_dir)
     local = sym.page_only(own, ["doc_id"]).join(own.select("doc_id", "class_no", "w", "h").distinct(), ["doc_id", "class_no"])
     local = sym.dictionary(local, ["doc_id", "page_no"]).select("doc_id", "page_no", "class_no", "id")
-    return sym.symbol_ids(own, _dictionary(spark, sf_dir).select("doc_id", "class_no", "id"), local, ["doc_id"]).select("doc_id", "comp_no", "id")
+    used = own.select("doc_id", "page_no", "class_no").distinct()
+    return sym.symbol_ids(used, _dictionary(spark, sf_dir).select("doc_id", "class_no", "id"), local, ["doc_id"]).select("doc_id", "class_no", "page_no", "id")
 
 
 @query("size_candidates", """+ te AS (SELECT doc_id, class_no, min(w) AS w, min(h) AS h FROM glyphs GROUP BY doc_id, class_no)
@@ -379,7 +389,7 @@ def _event_bitmaps(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     pairs = events.select(F.col("event_id").alias("a"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("b")).where("b is not null")
     rows = events.select(F.col("event_id").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("y"))
     bit = lambda x: F.shiftright(F.col("key") * 2654435761 + F.col("y") * 40503 + x * 2246822519, 7).bitwiseAND(F.lit(1))
-    return pairs, rows.withColumn("word", sum((bit(x) * (1 << (31 - x)) for x in range(8)), F.lit(0).cast("long")))
+    return pairs, rows.withColumn("words", F.array(sum((bit(x) * (1 << (31 - x)) for x in range(8)), F.lit(0).cast("long"))))
 
 
 @query("correlation_pairs", f"""+ {_EV}, o AS (SELECT ev.key AS a, ev.prev AS b, count(q.key) AS n FROM ev LEFT JOIN bits p ON p.key = ev.key LEFT JOIN bits q ON q.key = ev.prev AND q.x = p.x - 1 AND q.y = p.y WHERE ev.prev IS NOT NULL GROUP BY ev.key, ev.prev)
@@ -389,6 +399,30 @@ def correlation_pairs(spark, sf_dir):
     return sym.correlated(pairs.withColumn("dx", F.lit(1)).withColumn("dy", F.lit(0)), rows, 0.4).select("a", "b", "both", "ink_a", "ink_b", "match")
 
 
+_NEXT = f"ink AS (SELECT doc_id, x, y FROM px WHERE {_INK}), pr AS (SELECT doc_id AS a, lag(doc_id) OVER (ORDER BY doc_id) AS b FROM codes), tot AS (SELECT codes.doc_id, count(ink.x) AS n FROM codes LEFT JOIN ink ON ink.doc_id = codes.doc_id GROUP BY codes.doc_id)"
+
+
+def _neighbours(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pages of 64 columns, each with the one before it. One row per page is sorted."""
+    rows = fx.doc_rows(spark, sf_dir).withColumnRenamed("doc_id", "key")
+    pairs = rows.select("key").distinct().select(F.col("key").alias("a"), F.lag("key").over(Window.orderBy("key")).alias("b")).where("b is not null")
+    return pairs, rows
+
+
+@query("correlation_wide", f"""+ {_NEXT}, o AS (SELECT pr.a, pr.b, count(q.x) AS n FROM pr LEFT JOIN ink p ON p.doc_id = pr.a LEFT JOIN ink q ON q.doc_id = pr.b AND q.x = p.x + 35 AND q.y = p.y - 2 WHERE pr.b IS NOT NULL GROUP BY pr.a, pr.b)
+SELECT o.a, o.b, o.n AS both, i.n AS ink_a, j.n AS ink_b, o.n >= ceil(sqrt(CAST(CAST(0.92 AS FLOAT) AS DOUBLE) * i.n * j.n)) AS match FROM o JOIN tot i ON i.doc_id = o.a JOIN tot j ON j.doc_id = o.b""", "codes", "px")
+def correlation_wide(spark, sf_dir):
+    pairs, rows = _neighbours(spark, sf_dir)
+    return sym.correlated(pairs.withColumn("dx", F.lit(-35)).withColumn("dy", F.lit(2)), rows, 0.92).select("a", "b", "both", "ink_a", "ink_b", "match")
+
+
+@query("placement_wide", f"""+ {_NEXT}, st AS (SELECT dx, dy, 3 * (dy + 1) + dx + 1 AS rank FROM (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
+o AS (SELECT pr.a, pr.b, dx, dy, rank, count(q.x) AS n FROM pr CROSS JOIN st LEFT JOIN ink p ON p.doc_id = pr.a LEFT JOIN ink q ON q.doc_id = pr.b AND q.x = p.x - dx AND q.y = p.y - dy WHERE pr.b IS NOT NULL GROUP BY pr.a, pr.b, dx, dy, rank),
+d AS (SELECT o.a, o.b, dx, dy, rank, i.n + j.n - 2 * o.n AS differs FROM o JOIN tot i ON i.doc_id = o.a JOIN tot j ON j.doc_id = o.b), m AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY differs, rank) AS r FROM d) SELECT a, b, dx, dy, differs FROM m WHERE r = 1""", "codes", "px")
+def placement_wide(spark, sf_dir):
+    return sym.refined(*_neighbours(spark, sf_dir))
+
+
 @query("placement_refined", f"""+ {_EV}, st AS (SELECT dx, dy, 3 * (dy + 1) + dx + 1 AS rank FROM (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
 o AS (SELECT ev.key AS a, ev.prev AS b, dx, dy, rank, count(q.key) AS n FROM ev CROSS JOIN st LEFT JOIN bits p ON p.key = ev.key LEFT JOIN bits q ON q.key = ev.prev AND q.x = p.x - dx AND q.y = p.y - dy WHERE ev.prev IS NOT NULL GROUP BY ev.key, ev.prev, dx, dy, rank),
 d AS (SELECT a, b, dx, dy, rank, i.n + j.n - 2 * o.n AS differs FROM o JOIN ink i ON i.key = a JOIN ink j ON j.key = b), m AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY differs, rank) AS r FROM d) SELECT a, b, dx, dy, differs FROM m WHERE r = 1""", "codes")

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -178,10 +180,10 @@ def test_oracles_agree(spark):
     for t in os.listdir(sf):
         con.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{sf}/{t}'")
     rounded = lambda v: round(v, 6) if isinstance(v, float) else v
-    for name in ("gray_luma", "alpha_over_white", "upsample2", "clean_to_white", "packed_bytes", "rop_xor", "clip", "border", "component_bbox", "tpgd_flags", "dict_deltas", "segment_headers", "file_layout", "ink_statistics"):
+    for name in ORACLES:
         df = QUERIES[name](spark, sf)
         columns = sorted(df.columns)
-        got = sorted((tuple(map(rounded, r)) for r in df.select(*columns).collect()), key=str)
-        want = sorted((tuple(map(rounded, r)) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()), key=str)
-        assert got == want, name
+        got = Counter(tuple(map(rounded, r)) for r in df.select(*columns).collect())
+        want = Counter(tuple(map(rounded, r)) for r in con.sql(ORACLES[name]).select(*(f'"{c}"' for c in columns)).fetchall())
+        assert got == want, (name, list((got - want).items())[:3], list((want - got).items())[:3])
     assert symbols.bits_for(5) == 3 and F is not None
