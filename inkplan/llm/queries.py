@@ -60,9 +60,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import labelled_findings, scan, train
+    from .secrets import labelled_findings, lexicon, scan, train
 
-    return scan(_table(spark, sf_dir, "documents"), train(labelled_findings(spark)))
+    documents = _table(spark, sf_dir, "documents")
+    words = lexicon(documents)
+    return scan(documents, train(labelled_findings(spark, words), words), words)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
