@@ -1,4 +1,4 @@
-"""python -m inkplan.cli IMAGE...: encode PBM, PGM, PPM or PAM files.
+"""python -m inkplan.cli IMAGE...: encode PBM, PGM, PPM, PAM or PNG files.
 
 Exit codes: 0 done, 1 no input, 2 something failed.
 """
@@ -64,7 +64,7 @@ def _encode(options: argparse.Namespace) -> None:
     encoding = Encoding("lossy" if lossy else "lossless", "embedded" if options.pdf else "standalone", options.duplicate_line_removal, options.dpi, options.threshold, options.weight, options.auto_threshold, not options.no_hash)
     binarization = Binarization("global" if options.whole else "adaptive", options.bw_threshold, 4 if options.four else 2 if options.two else 1)
     spark = SparkSession.builder.config("spark.ui.enabled", "false").getOrCreate()
-    read = reduce(DataFrame.unionByName, (rasters.read_netpbm(spark, path).withColumn("page_no", F.lit(i)) for i, path in enumerate(options.images)))
+    read = reduce(DataFrame.unionByName, (rasters.read_images(spark, path).withColumn("page_no", F.lit(i)) for i, path in enumerate(options.images)))
     row = document.encode(rasters.to_pages(read.withColumn("doc_id", F.lit(0).cast("long")), binarization), encoding).first()
     head, pages = bytes(row.globals) if row.globals is not None else None, [bytes(p) for p in row.pages]
     if options.pdf and (lossy or not options.output):

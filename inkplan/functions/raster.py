@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from inkplan.plans.options import CHANNELS, LAYOUTS, Binarization
+from inkplan.plans.options import CHANNELS, LAYOUTS, PREMULTIPLIED, Binarization
 
 # Fixed values of the cleaning step: tile size, ink limit, growth of ink, pixels that a tile needs, paper level, smoothing reach.
 TILE_X, TILE_Y, INK, GROW, LEAST, PAPER, REACH_X, REACH_Y = 10, 15, 60, 3, 40, 200, 2, 1
@@ -19,6 +19,8 @@ def gray(pixels: bytes, width: int, height: int, stride: int, layout: str, how:
     flat = np.frombuffer(pixels, np.uint8)[: height * stride]
     rows.reshape(-1)[: len(flat)] = flat
     cell = rows[:, : width * size].reshape(height, width, size).astype(np.int64)
+    if layout in PREMULTIPLIED:
+        cell = straight(cell)
     level = cell[:, :, at["g"]]
     if "r" in at and how == "luma":
         level = 19595 * cell[:, :, at["r"]] + 38470 * level + 7471 * cell[:, :, at["b"]] + 32768 >> 16
@@ -28,12 +30,11 @@ def gray(pixels: bytes, width: int, height: int, stride: int, layout: str, how:
     return level.astype(np.uint8)
 
 
-def straight(pixels: bytes) -> bytes:
-    """Four-channel pixels whose colors were multiplied by their alpha, divided by it again, rounded; alpha 0 gives 0."""
-    cell = np.frombuffer(pixels, np.uint8).reshape(-1, 4).astype(np.int64)
-    alpha = cell[:, 3:]
-    color = np.where(alpha > 0, np.minimum(255, (cell[:, :3] * 255 + alpha // 2) // np.maximum(alpha, 1)), 0)
-    return np.concatenate([color, alpha], axis=1).astype(np.uint8).tobytes()
+def straight(cell: np.ndarray) -> np.ndarray:
+    """Four-channel pixels whose colors were multiplied by their alpha, the last channel, divided by it again, rounded; alpha 0 gives 0."""
+    alpha = cell[..., 3:]
+    color = np.where(alpha > 0, np.minimum(255, (cell[..., :3] * 255 + alpha // 2) // np.maximum(alpha, 1)), 0)
+    return np.concatenate([color, alpha], axis=-1)
 
 
 def _spread(mask: np.ndarray, reach: int) -> np.ndarray:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 #: Bytes per pixel of the interleaved layouts.
-LAYOUTS = {"Gray8": 1, "GrayAlpha16": 2, "Rgb24": 3, "Bgr24": 3, "Rgba32": 4, "Bgra32": 4}
+LAYOUTS = {"Gray8": 1, "GrayAlpha16": 2, "Rgb24": 3, "Bgr24": 3, "Rgba32": 4, "Bgra32": 4, "PremultipliedRgba32": 4, "PremultipliedBgra32": 4}
+#: Layouts whose colors were multiplied by their alpha.
+PREMULTIPLIED = {"PremultipliedRgba32", "PremultipliedBgra32"}
 #: Where red, green, blue and alpha (or gray and alpha) lie inside a pixel.
 CHANNELS = {"Gray8": {"g": 0}, "GrayAlpha16": {"g": 0, "a": 1}, "Rgb24": {"r": 0, "g": 1, "b": 2}, "Bgr24": {"b": 0, "g": 1, "r": 2}, "Rgba32": {"r": 0, "g": 1, "b": 2, "a": 3}, "Bgra32": {"b": 0, "g": 1, "r": 2, "a": 3}}
+CHANNELS |= {name: CHANNELS[name.removeprefix("Premultiplied")] for name in PREMULTIPLIED}
 MOST_WORDS = (1 << 30) - 1
 
 

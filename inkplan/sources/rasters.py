@@ -1,68 +1,37 @@
 """Raster sources and stream sinks.
 
-`read_netpbm` reads PBM, PGM, PPM and PAM files with Spark's binaryFile reader; `NetpbmSource` registers the same as
-format("netpbm"). `to_pages` binarizes interleaved rasters in one narrow pass. `EncodedSink` registers format("inkpages"),
-which writes whole files, split parts or PDFs.
+`read_images` reads PBM, PGM, PPM, PAM and PNG files with Spark's binaryFile reader; `ImageSource` registers the same as
+format("inkimages"). `to_pages` binarizes interleaved rasters in one narrow pass. `EncodedSink` registers format("inkpages"),
+which writes whole files, split parts or PDFs; files appear under their names when the job is committed.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from inkplan.functions import raster, shapes
-from inkplan.plans.options import LAYOUTS, Binarization, check_raster
+from inkplan.functions import images, raster, shapes
+from inkplan.plans.options import Binarization, check_raster
 
 RASTERS = "path string, width int, height int, stride int, layout string, pixels binary, x_dpi int, y_dpi int"
 EXTENSIONS = (".jb2", ".jbig2")
 MIME_TYPES = ("image/x-jbig2", "image/jbig2")
+IMAGES = (".pbm", ".pgm", ".ppm", ".pam", ".png")
+SINK_LAYOUTS = ("file", "split", "pdf")
 
 
-def parse_netpbm(data: bytes) -> tuple[int, int, int, str, bytes]:
-    """width, height, stride, layout (Bits for PBM, 1 = black) and pixels of a binary PBM, PGM, PPM or PAM file."""
-    kind = data[:2]
-    if kind == b"P7":
-        head, _, body = data.partition(b"ENDHDR\n")
-        fields = dict(line.split(None, 1) for line in head.split(b"\n")[1:] if line.strip() and not line.startswith(b"#"))
-        width, height, depth, most = (int(fields[k]) for k in (b"WIDTH", b"HEIGHT", b"DEPTH", b"MAXVAL"))
-        layout = {1: "Gray8", 2: "GrayAlpha16", 3: "Rgb24", 4: "Rgba32"}.get(depth)
-    elif kind in (b"P4", b"P5", b"P6"):
-        wanted, fields, at = 2 if kind == b"P4" else 3, [], 2
-        while len(fields) < wanted:
-            found = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)").match(data, at)
-            if not found:
-                raise ValueError("broken image header")
-            fields.append(int(found[1]))
-            at = found.end()
-        body, (width, height) = data[at + 1 :], fields[:2]
-        most = fields[2] if wanted == 3 else 1
-        layout = {b"P4": "Bits", b"P5": "Gray8", b"P6": "Rgb24"}[kind]
-    else:
-        raise ValueError("not a PBM, PGM, PPM or PAM file")
-    if layout is None or most > 255:
-        raise ValueError("only up to four channels of eight bits are supported")
-    stride = -(-width // 8) if layout == "Bits" else width * LAYOUTS[layout]
-    if len(body) < stride * height:
-        raise ValueError("image file is cut off")
-    body = body[: stride * height]
-    if layout != "Bits" and most != 255:
-        body = (np.frombuffer(body, np.uint8).astype(np.uint16) * 255 // most).astype(np.uint8).tobytes()
-    return width, height, stride, layout, body
-
-
-def read_netpbm(spark: SparkSession, path: str) -> DataFrame:
-    """RASTERS of all such files under path, read by Spark's own reader from any store."""
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """RASTERS of all such files under path, read by Spark's own reader from any store; a file of another kind fails the query."""
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                width, height, stride, layout, pixels = parse_netpbm(data)
-                yield pa.RecordBatch.from_pylist([{"path": name, "width": width, "height": height, "stride": stride, "layout": layout, "pixels": pixels, "x_dpi": 0, "y_dpi": 0}], _schema())
+                width, height, stride, layout, pixels, x_dpi, y_dpi = images.parse(data)
+                yield pa.RecordBatch.from_pylist([{"path": name, "width": width, "height": height, "stride": stride, "layout": layout, "pixels": pixels, "x_dpi": x_dpi, "y_dpi": y_dpi}], _schema())
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RASTERS)
 
@@ -111,23 +80,23 @@ class _Reader(DataSourceReader):
         store, path = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
         info = store.get_file_info(path)
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
-        return [_File(f.path) for f in found if f.type == fs.FileType.File and f.path.lower().endswith((".pbm", ".pgm", ".ppm", ".pam"))]
+        return [_File(f.path) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(IMAGES)]
 
     def read(self, partition):
         from pyarrow import fs
 
         store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
         with store.open_input_stream(partition.path, compression=None) as f:
-            width, height, stride, layout, pixels = parse_netpbm(f.read())
-        yield partition.path, width, height, stride, layout, pixels, 0, 0
+            width, height, stride, layout, pixels, x_dpi, y_dpi = images.parse(f.read())
+        yield partition.path, width, height, stride, layout, pixels, x_dpi, y_dpi
 
 
-class NetpbmSource(DataSource):
-    """spark.read.format("netpbm").load(path)."""
+class ImageSource(DataSource):
+    """spark.read.format("inkimages").load(path)."""
 
     @classmethod
     def name(cls):
-        return "netpbm"
+        return "inkimages"
 
     def schema(self):
         return RASTERS
@@ -164,43 +133,90 @@ def pdf(pages: list[bytes], sizes: list[tuple[int, int]], head: bytes | None) ->
     return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, start))
 
 
-def parts_of(name: str, layout: str, head: bytes | None, pages: list[bytes], output: str) -> list[tuple[str, bytes]]:
-    """File names and contents of a document: layout file (one stream) or split (name.sym if there are globals, name.0000 ...)."""
+def parts_of(name: str, layout: str, head: bytes | None, pages: list[bytes], output: str, sizes: list[tuple[int, int]] | None = None) -> list[tuple[str, bytes]]:
+    """File names and contents of a document: layout file (one stream), split (name.sym if there are globals, name.0000 ...) or pdf."""
+    if layout not in SINK_LAYOUTS:
+        raise ValueError(f"layout {layout!r}; one of {', '.join(SINK_LAYOUTS)}")
     if layout == "split":
         return ([(f"{name}.sym", head)] if head is not None else []) + [(f"{name}.{i:04d}", p) for i, p in enumerate(pages)]
+    if layout == "pdf":
+        if output == "standalone" or sizes is None:
+            raise ValueError("a PDF takes embedded streams and their sizes")
+        return [(f"{name}.pdf", pdf(pages, sizes, head))]
     if output != "standalone" and (head is not None or len(pages) != 1):
-        raise ValueError("several streams can't be one file; use layout split")
+        raise ValueError("several streams can't be one file; use layout split or pdf")
     return [(f"{name}{EXTENSIONS[0]}", (head or b"") + b"".join(pages))]
 
 
+def _store(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    folder: str
+    names: list[str]
+
+
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, layout: str):
-        self.path, self.layout = path, layout
+    """Tasks write to folders of their own below the target; the driver moves the files of the tasks that count, or none."""
 
-    def write(self, rows):
-        from pyarrow import fs
+    def __init__(self, path: str, layout: str, overwrite: bool):
+        if layout not in SINK_LAYOUTS:
+            raise ValueError(f"layout {layout!r}; one of {', '.join(SINK_LAYOUTS)}")
+        self.path, self.layout, self.overwrite, self.job = path, layout, overwrite, f"_temporary-{uuid.uuid4().hex}"
 
-        store, path = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        store.create_dir(path, recursive=True)
+    def write(self, rows):
+        store, path = _store(self.path)
+        folder, names = f"{path}/{self.job}/{uuid.uuid4().hex}", []
+        store.create_dir(folder, recursive=True)
         for row in rows:
-            for name, data in parts_of(str(row.doc_id), self.layout, bytes(row.globals) if row.globals is not None else None, [bytes(p) for p in row.pages], row.output):
-                with store.open_output_stream(f"{path}/{name}.part", compression=None) as f:
+            sizes = [(s["width"], s["height"]) for s in row.sizes] if "sizes" in row else None
+            for name, data in parts_of("null" if row.doc_id is None else str(row.doc_id), self.layout, bytes(row.globals) if row.globals is not None else None, [bytes(p) for p in row.pages], row.output, sizes):
+                with store.open_output_stream(f"{folder}/{name}", compression=None) as f:
                     f.write(data)
-                store.move(f"{path}/{name}.part", f"{path}/{name}")
-        return WriterCommitMessage()
+                names.append(name)
+        return _Written(folder, names)
+
+    def commit(self, messages):
+        from pyarrow import fs
+
+        store, path = _store(self.path)
+        if self.overwrite:
+            for info in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+                if info.type == fs.FileType.File:
+                    store.delete_file(info.path)
+        for message in messages:
+            for name in message.names if message is not None else ():
+                store.move(f"{message.folder}/{name}", f"{path}/{name}")
+        self._clean(store, path)
+
+    def abort(self, messages):
+        self._clean(*_store(self.path))
+
+    def _clean(self, store, path):
+        from pyarrow import fs
+
+        if store.get_file_info(f"{path}/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{path}/{self.job}")
 
 
 class EncodedSink(DataSource):
-    """encode(...).write.format("inkpages").option("layout", "file" or "split").mode("append").save(path)."""
+    """encode(...).write.format("inkpages").option("layout", "file", "split" or "pdf").mode("append" or "overwrite").save(path).
+
+    overwrite deletes the files of the target first, when all tasks are done. A failed job leaves the target as it was.
+    """
 
     @classmethod
     def name(cls):
         return "inkpages"
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], self.options.get("layout", "file"))
+        return _Writer(self.options["path"], self.options.get("layout", "file"), overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(NetpbmSource)
+    spark.dataSource.register(ImageSource)
     spark.dataSource.register(EncodedSink)

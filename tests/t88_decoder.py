@@ -4,8 +4,15 @@ import struct
 
 import numpy as np
 
-from inkplan.functions.mq import NLPS, NMPS, PROCEDURES, QE, SWITCH
-
+# Fixed values of ITU-T T.88 Table E.1, typed from the standard and not shared with the coder: Qe, NMPS, NLPS, SWITCH.
+TABLE = [
+    (0x5601, 1, 1, 1), (0x3401, 2, 6, 0), (0x1801, 3, 9, 0), (0x0AC1, 4, 12, 0), (0x0521, 5, 29, 0), (0x0221, 38, 33, 0), (0x5601, 7, 6, 1), (0x5401, 8, 14, 0),
+    (0x4801, 9, 14, 0), (0x3801, 10, 14, 0), (0x3001, 11, 17, 0), (0x2401, 12, 18, 0), (0x1C01, 13, 20, 0), (0x1601, 29, 21, 0), (0x5601, 15, 14, 1), (0x5401, 16, 14, 0),
+    (0x5101, 17, 15, 0), (0x4801, 18, 16, 0), (0x3801, 19, 17, 0), (0x3401, 20, 18, 0), (0x3001, 21, 19, 0), (0x2801, 22, 19, 0), (0x2401, 23, 20, 0), (0x2201, 24, 21, 0),
+    (0x1C01, 25, 22, 0), (0x1801, 26, 23, 0), (0x1601, 27, 24, 0), (0x1401, 28, 25, 0), (0x1201, 29, 26, 0), (0x1101, 30, 27, 0), (0x0AC1, 31, 28, 0), (0x09C1, 32, 29, 0),
+    (0x08A1, 33, 30, 0), (0x0521, 34, 31, 0), (0x0441, 35, 32, 0), (0x02A1, 36, 33, 0), (0x0221, 37, 34, 0), (0x0141, 38, 35, 0), (0x0111, 39, 36, 0), (0x0085, 40, 37, 0),
+    (0x0049, 41, 38, 0), (0x0025, 42, 39, 0), (0x0015, 43, 40, 0), (0x0009, 44, 41, 0), (0x0005, 45, 42, 0), (0x0001, 45, 43, 0),
+]
 
 class Decoder:
     """Annex E, software conventions."""
@@ -37,7 +44,7 @@ class Decoder:
 
     def bit(self, context):
         i, mps = self.state.get(context, (0, 0))
-        q = QE[i]
+        q, after_mps, after_lps, switch = TABLE[i]
         self.a -= q
         if (self.c >> 16) < q:
             likely = self.a < q
@@ -48,7 +55,7 @@ class Decoder:
                 return mps
             likely = self.a >= q
         out = mps if likely else 1 - mps
-        self.state[context] = (NMPS[i], mps) if likely else (NLPS[i], mps ^ (i in SWITCH))
+        self.state[context] = (after_mps, mps) if likely else (after_lps, mps ^ switch)
         while not self.a & 0x8000:
             if not self.ct:
                 self.fill()
@@ -59,11 +66,10 @@ class Decoder:
 
     def integer(self, name):
         at = 1
-        proc = PROCEDURES.index(name)
 
         def one():
             nonlocal at
-            b = self.bit(("int", proc, at))
+            b = self.bit(("int", name, at))
             at = at << 1 | b if at < 256 else (at << 1 | b) & 511 | 256
             return b
 

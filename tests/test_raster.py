@@ -67,7 +67,13 @@ def test_layouts():
 
 
 def test_premultiplied():
-    assert raster.straight(bytes([50, 100, 128, 128, 9, 9, 9, 0, 1, 2, 3, 255])) == bytes([100, 199, 255, 128, 0, 0, 0, 0, 1, 2, 3, 255])
+    cell = np.array([50, 100, 128, 128, 9, 9, 9, 0, 1, 2, 3, 255]).reshape(1, 3, 4)
+    plain = raster.straight(cell)
+    assert plain.reshape(-1).tolist() == [100, 199, 255, 128, 0, 0, 0, 0, 1, 2, 3, 255]
+    # a stride of 16 bytes, the last row without its padding
+    data = np.pad(cell.astype(np.uint8).reshape(1, 12), ((0, 1), (0, 4))).tobytes()[:28]
+    got = raster.gray(data, 3, 2, 16, "PremultipliedRgba32")
+    assert got[0].tolist() == raster.gray(plain.astype(np.uint8).tobytes(), 3, 1, 12, "Rgba32")[0].tolist() and got[1].tolist() == [255] * 3
 
 
 def test_word_rows(spark):
@@ -125,7 +131,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "c.ppm").write_bytes(b"P6\n19 11\n255\n" + np.repeat((1 - page) * 255, 3).astype(np.uint8).tobytes())
     (tmp_path / "d.pam").write_bytes(b"P7\nWIDTH 19\nHEIGHT 11\nDEPTH 2\nMAXVAL 255\nTUPLTYPE GRAYSCALE_ALPHA\nENDHDR\n" + np.stack([(1 - page) * 255, np.full_like(page, 255)], axis=-1).astype(np.uint8).tobytes())
     rasters.register(spark)
-    for read in (rasters.read_netpbm(spark, str(tmp_path)), spark.read.format("netpbm").load(str(tmp_path))):
+    for read in (rasters.read_images(spark, str(tmp_path)), spark.read.format("inkimages").load(str(tmp_path))):
         done = rasters.to_pages(read, Binarization(mode="global")).collect()
         assert len(done) == 4 and all((shapes.unpack(bytes(r.packed), 19, 11) == page).all() for r in done)
     encoded = document.encode(pages_of(spark, [(7, 0, page), (7, 1, page)]), Encoding(mode="lossy", output="embedded"))
