@@ -173,16 +173,31 @@ class IdFilter:
             self.bits[np.frombuffer(at, np.int64)] = np.frombuffer(bits, np.int64).view(np.uint64)
 
     @staticmethod
-    def _place(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def _word(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         h = mixed(ids.view(np.uint64) + np.uint64(1))
+        return h, (h >> np.uint64(32)).astype(np.int64) & (size - 1)
+
+    @staticmethod
+    def _place(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        h, at = IdFilter._word(ids, size)
+        return at, IdFilter._bits(h)
+
+    @staticmethod
+    def _bits(h: np.ndarray) -> np.ndarray:
         bits = np.zeros(len(h), np.uint64)
         for i in range(4):
             bits |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
-        return (h >> np.uint64(32)).astype(np.int64) % size, bits
+        return bits
 
     def holds(self, ids: np.ndarray) -> np.ndarray:
-        at, bits = self._place(ids, len(self.bits))
-        return self.bits[at] & bits == bits
+        h, at = self._word(ids, len(self.bits))
+        word = self.bits[at]
+        out = word != 0
+        # most words hold nothing that matters: bits are made for the others alone
+        some = np.flatnonzero(out)
+        bits = self._bits(h[some])
+        out[some] = word[some] & bits == bits
+        return out
 
 
 class Words:

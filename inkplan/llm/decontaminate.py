@@ -278,8 +278,8 @@ def _text_seeds(texts: DataFrame, masks: list[str], known: IdFilter) -> DataFram
                 words = _words(piece.column("text"))
                 for mask in masks:
                     h, at = _seeds(words, mask)
-                    hit = known.holds(h.view(np.int64))
-                    if hit.any():
+                    hit = np.flatnonzero(known.holds(h.view(np.int64)))
+                    if len(hit):
                         own = _distinct(np.stack([words.row[at[hit]], h[hit].view(np.int64)], axis=1))
                         yield pa.RecordBatch.from_arrays([pa.array(own[:, 1]), piece.column("name").take(pa.array(own[:, 0]))], ["seed", "name"])
 

@@ -195,10 +195,11 @@ def fit(labelled: DataFrame, limit: int = FIT_DOCUMENTS) -> Model:
     So a rare language is fitted on all that it has. Null langs and texts are left out; no rows give a model without languages.
     """
     rows = labelled.where("lang is not null and text is not null").select(F.xxhash64("doc_id").alias("h"), "text", "lang")
-    # hashes are uniform, so this part of their range holds about limit rows
-    part = F.least(F.lit(1.0), F.lit(float(limit)) / F.col("rows"))
-    cut = rows.groupBy("lang").agg(F.count("*").alias("rows")).select("lang", part.alias("part"))
-    rows = rows.join(cut, "lang").where((F.col("h").cast("double") / float(1 << 64) + 0.5) <= F.col("part"))
+    # hashes are uniform, so this part of their range holds about limit rows; the driver gets a number for each language
+    parts = {r.lang: min(1.0, limit / r.rows) for r in rows.groupBy("lang").agg(F.count("*").alias("rows")).collect()}
+    if any(p < 1 for p in parts.values()):
+        table = F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*map(F.lit, parts.values())))
+        rows = rows.where((F.col("h").cast("double") / float(1 << 64) + 0.5) <= table[F.col("lang")])
     found = dict(_counts(rows))
     languages = sorted(found)
     counts, words = np.zeros((SLOTS, len(languages))), np.zeros((len(_NAMES), len(languages)))
