@@ -154,19 +154,39 @@ class Shard:
 
 # --- encoding -----------------------------------------------------------------------------------------------------
 
-# Fixed values of the vocabulary file: how it cuts words, and what it adds to the last piece of one.
+# The rules of a vocabulary file for which there is a quicker way, and its cuts for characters up to U+00FF.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
 #: Texts of these characters alone are lower-cased, cut and normalised alike by the library and by Python.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 
 
 class WordIds(dict):
-    """Word to its ids as little-endian 16-bit bytes; each piece of a word is encoded once by the library's model."""
+    """Word to its ids as little-endian bytes of kind; each piece of a word is encoded once by the library's model.
 
-    def __init__(self, path: str):
+    That holds for files with _RULES; texts of any other file, or with characters or tokens beyond them, go to the library whole.
+    """
+
+    def __init__(self, path: str, end_id: int = 0):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.quick = all(rules.get(k) == v for k, v in _RULES.items()) and not rules["model"].get("dropout")
+        self.added = [t["content"] for t in rules.get("added_tokens") or ()]
+        most = max([end_id, *self.tokenizer.get_vocab(True).values()])
+        self.kind = "<u2" if most < 1 << 16 else "<u4"
         self.model, self.cuts = self.tokenizer.model, re.compile(_CUTS).findall
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         spare = iter(range(256, 512))
@@ -182,18 +202,18 @@ class WordIds(dict):
             ids = self.parts.get(piece)
             if ids is None:
                 shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                ids = self.parts[piece] = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
+                ids = self.parts[piece] = np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
             out += ids
         self[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text) and "<|" not in text:
+        if self.quick and _PLAIN.fullmatch(text) and not any(t in text for t in self.added):
             return b"".join(map(self.__getitem__, text.lower().split()))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
 
-_ENCODERS: dict[str, WordIds] = {}
+_ENCODERS: dict[tuple[str, int], WordIds] = {}
 
 
 def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -208,15 +228,17 @@ def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     def write(batches):
         part = TaskContext.get().partitionId()
-        if tokenizer_path not in _ENCODERS:
-            _ENCODERS[tokenizer_path] = WordIds(tokenizer_path)
-        encode, end = _ENCODERS[tokenizer_path].encode, np.array([end_id], "<u2").tobytes()
+        if (tokenizer_path, end_id) not in _ENCODERS:
+            _ENCODERS[tokenizer_path, end_id] = WordIds(tokenizer_path, end_id)
+        words = _ENCODERS[tokenizer_path, end_id]
+        encode, end = words.encode, np.array([end_id], words.kind).tobytes()
+        size = len(end)
         names, lengths, ids, held, shard = [], [], [], 0, 0
 
         def close():
             nonlocal names, lengths, ids, held, shard
             uri = f"{folder}/{part:06d}-{shard:05d}.wmtx"
-            put_file(uri, pack_shard(np.frombuffer(b"".join(ids), "<u2"), names, np.array(lengths)))
+            put_file(uri, pack_shard(np.frombuffer(b"".join(ids), words.kind), names, np.array(lengths)))
             row = pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([held], pa.int64())], ["uri", "part", "shard", "n_tokens"])
             names, lengths, ids, held, shard = [], [], [], 0, shard + 1
             return row
@@ -226,9 +248,9 @@ def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
                 for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     data = encode(text or "") + end
                     names.append(doc_id)
-                    lengths.append(len(data) // 2)
+                    lengths.append(len(data) // size)
                     ids.append(data)
-                    held += len(data) // 2
+                    held += len(data) // size
                     if held >= shard_tokens:
                         yield close()
         if names:
@@ -236,8 +258,12 @@ def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     ordered = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
     shards = stored(ordered.select("doc_id", "text").mapInArrow(write, "uri string, part int, shard int, n_tokens long"), f"{folder}/shards")
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
+    # ids before a shard: those of the parts before, of which there are as many as partitions, and of its own part
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", F.coalesce(F.sum("all").over(upto(Window.orderBy("part"))), none).alias("earlier"))
+    own = F.coalesce(F.sum("n_tokens").over(upto(Window.partitionBy("part").orderBy("shard"))), none)
+    return shards.withColumn("own", own).join(totals, "part").withColumn("start", F.col("earlier") + F.col("own")).drop("own", "earlier")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -259,7 +285,10 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
 
 def token_output(documents: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 1, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Writes shards and reads them back. documents: doc_id and text; other columns are ignored. An empty table gives no rows.
+    """Writes shards and reads them back. documents: doc_id and text; other columns, whatever their names, are ignored.
+
+    Null and empty texts have the end id alone; texts are encoded whole, however long. Rows with a null doc_id come first, repeated rows
+    stand side by side, ties go by the text. An empty table gives no rows.
 
     The files stay in folder, by default a new one in the shared folder.
     """

@@ -592,6 +592,22 @@ def test_tokens(spark, tmp_path):
     assert shards.count() > 1 and tokens.token_output(docs(spark, []), path).count() == 0
 
 
+def test_other_tokenizers(spark, tmp_path):
+    """A file of other rules, and an end id beyond 16 bits, give the library's own ids."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    rows = [(1, "Hello  World, it's 42\n<|endoftext|> ok"), (2, "naïve ÜBER"), (3, None)]
+    for name, end in (("byte_bpe_50k.json", 5), ("word_bpe_49k.json", 70_000)):
+        plain = Tokenizer.from_file(P.path(name))
+        got = tokens.token_output(docs(spark, rows), P.path(name), f"file://{tmp_path}/{name}", end).orderBy("start").collect()
+        at = 0
+        for r, (d, t) in zip(got, rows, strict=True):
+            ids = [*plain.encode(t or "", add_special_tokens=False).ids, end]
+            assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += len(ids)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n, most in ((0, 2), (1, 1), (700, 5), (5000, 49408), (3000, 70000)):
