@@ -1,6 +1,6 @@
 """Line dedup by overlapping three-line windows.
 
-Every three consecutive lines are hashed, windows that occur more than once anywhere are found, and all their
+A document of fewer lines is one window of its own kind. Every three consecutive lines are hashed, windows that occur more than once anywhere are found, and all their
 occurrences but the first - by doc_id, then place - are removed: the lines that they cover, merged, go. Only hashes and
 places are shuffled to find them; a window's count and first place are merged before the shuffle.
 """
@@ -20,9 +20,10 @@ WINDOW = 3
 def dedup_lines(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (array of first and past the last line, from 0), text (null if it was) of every row.
 
-    Lines end at \\n. Windows of blank lines alone don't count, and documents of fewer lines than a window have none, so
-    they stay as they are. Null doc_ids come first. Rows of the same doc_id and text are one document: they lose the same
-    lines. An empty table gives no rows.
+    Lines end at \\n. Windows of blank lines alone don't count. A document of fewer lines than a window is compared as a
+    whole with other such documents, and loses all its lines where an earlier one is equal. Null and empty texts lose nothing. Null doc_ids
+    come first. Rows of the same doc_id and text are one document: they lose the same lines. Texts are read whole, however
+    long. An empty table gives no rows; other columns, whatever their names, are ignored.
     """
     base = scratch(documents.sparkSession, "lines")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
@@ -31,7 +32,10 @@ def dedup_lines(documents: DataFrame, window: int = WINDOW) -> DataFrame:
         F.sequence(F.lit(0), F.size("lines") - window),
         lambda i: F.struct(*(F.xxhash64(F.lit(s), *(F.col("lines")[i + k] for k in range(window))).alias(f"h{s}") for s in (1, 2)), (F.trim(F.concat(*(F.col("lines")[i + k] for k in range(window)))) != "").alias("solid")),
     )
-    windows = docs.withColumn("lines", lines).where(F.size("lines") >= window).select("doc_id", "row", F.posexplode(hashed).alias("at", "w")).where("w.solid").select("doc_id", "row", "at", "w.h1", "w.h2")
+    # hashed with one value more, so that they meet windows of their own kind alone
+    short = F.array(F.struct(*(F.xxhash64(F.lit(s), F.lit("short"), "text").alias(f"h{s}") for s in (1, 2)), (F.trim(F.replace("text", F.lit("\n"), F.lit(""))) != "").alias("solid")))
+    own = F.when(F.size("lines") >= window, hashed).otherwise(short)
+    windows = docs.where("text is not null").withColumn("lines", lines).select("doc_id", "row", F.posexplode(own).alias("at", "w")).where("w.solid").select("doc_id", "row", "at", "w.h1", "w.h2")
     windows = stored(windows, f"{base}/windows")
     place = F.struct("doc_id", "row", "at")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
@@ -61,5 +65,7 @@ def dedup_lines(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     out = joined.withColumn("removed", merged).withColumn("lines", F.coalesce(lines, F.array().cast("array<string>")))
     kept = F.filter("lines", lambda x, i: ~F.exists("removed", lambda s: (s["first"] <= i) & (i < s["past"])))
     text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    dropped = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["past"] - s["first"])
-    return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), dropped.alias("n_removed"), "removed", text.alias("text"))
+    # a short document's stretch ends with it
+    removed = F.transform("removed", lambda s: F.struct(s["first"].alias("first"), F.least(s["past"], F.size("lines")).alias("past")))
+    dropped = F.aggregate(removed, F.lit(0).cast("long"), lambda n, s: n + s["past"] - s["first"])
+    return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), dropped.alias("n_removed"), removed.alias("removed"), text.alias("text"))

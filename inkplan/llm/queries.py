@@ -28,7 +28,8 @@ _OP2_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 w AS (SELECT doc_id, pos, lines[pos + 1] || chr(10) || lines[pos + 2] || chr(10) || lines[pos + 3] AS x
       FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM d WHERE len(lines) >= 3)
-      WHERE trim(lines[pos + 1] || lines[pos + 2] || lines[pos + 3]) <> ''),
+      WHERE trim(lines[pos + 1] || lines[pos + 2] || lines[pos + 3]) <> ''
+      UNION ALL SELECT doc_id, 0 AS pos, 'short' || chr(10) || text AS x FROM d WHERE len(lines) < 3 AND trim(replace(text, chr(10), '')) <> ''),
 r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY x ORDER BY doc_id, pos) AS n FROM w),
 gone AS (SELECT DISTINCT doc_id, pos + k AS line FROM r, (SELECT unnest(range(0, 3)) AS k) WHERE n > 1),
 l AS (SELECT doc_id, i, lines[i + 1] AS line FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM d)),

@@ -101,12 +101,12 @@ def brute_lines(rows):
     seen, gone = set(), defaultdict(set)
     for d, t in sorted({(d, t) for d, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
         ls = t.split("\n")
-        for i in range(len(ls) - 2):
+        for i in range(max(1, len(ls) - 2)):
             w = tuple(ls[i : i + 3])
             if not "".join(w).strip(" "):
                 continue
             if w in seen:
-                gone[d, t] |= {i, i + 1, i + 2}
+                gone[d, t] |= {i, i + 1, i + 2} & set(range(len(ls)))
             seen.add(w)
     return sorted(((d is not None, d or 0, 0 if t is None else len(t.split("\n")), len(gone[d, t]), t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d, t])) for d, t in rows), key=str)
 
@@ -115,6 +115,7 @@ def test_lines(spark):
     rng = random.Random(2)
     rows = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randrange(12)))) for i in range(30)]
     rows += [(100, None), (101, ""), (102, "\n\n\n\n"), (103, "\n\n\n\n"), (104, "q\nr\ns"), (104, "q\nr\ns"), (None, "q\nr\ns\nt"), (105, LONG + "\nx\ny\n" + LONG + "\nx\ny")]
+    rows += [(106, "one line"), (107, "one line"), (108, "two\nlines"), (109, "two\nlines"), (110, "two\nlines\nand more"), (111, " \n"), (112, " \n"), (113, "one line\n")]
     out = lines.dedup_lines(docs(spark, [(*r, 1, 2) for r in rows], "doc_id long, text string, row int, at int"))
     assert sorted(((r.doc_id is not None, r.doc_id or 0, r.n_lines, r.n_removed, r.text) for r in out.collect()), key=str) == brute_lines(rows)
     assert lines.dedup_lines(docs(spark, [])).count() == 0
