@@ -101,6 +101,13 @@ def pixel(words: Column, x: Column) -> Column:
     return F.when((x >= 0) & word.isNotNull(), F.call_function("shiftright", word, (F.lit(31) - x % 32).cast("int")).bitwiseAND(F.lit(1))).otherwise(0).cast("long")
 
 
+def with_pixel(words: Column, x: Column, black: Column) -> Column:
+    """The row with that pixel set; a place outside changes nothing."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(31) - F.pmod(x, F.lit(32))).cast("int"))
+    one = lambda w, k: F.when(k == F.floor(x / 32), F.when(black, w.bitwiseOR(bit)).otherwise(w.bitwiseAND(F.bitwise_not(bit)))).otherwise(w)
+    return F.transform(words, one)
+
+
 def black_count(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w).cast("long"))
 

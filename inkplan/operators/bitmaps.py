@@ -71,18 +71,37 @@ def combine(target: DataFrame, source: DataFrame, operation: str, dx: int, dy: i
     return target.join(moved_rows, [*by, "y"], "left").withColumn("words", F.when(F.col("other").isNull(), F.col("words")).otherwise(mixed)).drop("other")
 
 
-def clip(rows: DataFrame, x: int, y: int, width: int, height: int, source_width: int) -> DataFrame:
-    """The window of that corner and size; rows and columns outside are white, rows above or below are left out."""
-    return rows.where((F.col("y") >= y) & (F.col("y") < y + height)).withColumn("words", moved(F.col("words"), source_width, -x, width)).withColumn("y", F.col("y") - y)
-
-
-def bordered(rows: DataFrame, border: int, width: int) -> DataFrame:
-    """Moved right and down by border, and as wide as with white on both sides; blank rows are left out."""
-    return rows.withColumn("words", moved(F.col("words"), width, border, width + 2 * border)).withColumn("y", F.col("y") + border)
-
-
-def unbordered(rows: DataFrame, border: int, width: int, height: int) -> DataFrame:
-    return clip(rows, border, border, width - 2 * border, height - 2 * border, width)
+def _white(size: int) -> Column:
+    return F.array_repeat(F.lit(0).cast("long"), -(-size // 32))
+
+
+def clip(rows: DataFrame, x: int, y: int, width: int, height: int, source_width: int, by: list[str] | None = None) -> DataFrame:
+    """The window of that corner and size; columns outside are white. With by, rows above and below are white ones too, else they are left out."""
+    inside = rows.where((F.col("y") >= y) & (F.col("y") < y + height)).withColumn("words", moved(F.col("words"), source_width, -x, width)).withColumn("y", F.col("y") - y)
+    if by is None:
+        return inside
+    every = rows.select(*by).distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))))
+    return every.join(inside, [*by, "y"], "left").withColumn("words", F.coalesce("words", _white(width)))
+
+
+def bordered(rows: DataFrame, border: int, width: int, by: list[str] | None = None) -> DataFrame:
+    """Moved right and down by border, and as wide as with white on both sides. With by, the white rows above and below come too."""
+    inside = rows.withColumn("words", moved(F.col("words"), width, border, width + 2 * border)).withColumn("y", F.col("y") + border)
+    if by is None or not border:
+        return inside
+    place = F.sequence(F.lit(0).cast("long"), F.lit(border - 1).cast("long"))
+    around = rows.groupBy(*by).agg((F.max("y") + 1 + border).alias("below")).withColumn("y", F.explode(F.concat(place, F.transform(place, lambda k: k + F.col("below")))))
+    return inside.select(*by, "y", "words").unionByName(around.select(*by, "y", _white(width + 2 * border).alias("words")))
+
+
+def unbordered(rows: DataFrame, border: int, width: int, height: int | None = None) -> DataFrame:
+    """Without the outer pixels on all sides. height: of the bordered bitmaps; None: each bitmap's own, if its white rows are there."""
+    if height is not None:
+        return clip(rows, border, border, width - 2 * border, height - 2 * border, width)
+    by = [c for c in rows.columns if c not in ("y", "words")]
+    last = F.max("y").over(Window.partitionBy(*by))
+    inside = rows.withColumn("__last", last).where((F.col("y") >= border) & (F.col("y") <= F.col("__last") - border)).drop("__last")
+    return inside.withColumn("words", moved(F.col("words"), width, -border, width - 2 * border)).withColumn("y", F.col("y") - border)
 
 
 def runs(pixels: DataFrame, by: list[str]) -> DataFrame:

@@ -219,6 +219,31 @@ def border(spark, sf_dir):
     return rows.select("doc_id", "y", *(F.col("words")[i].alias(f"w{i}") for i in range(3)))
 
 
+@query("border_full", f"""+ {_WORDS}, hh AS (SELECT doc_id, max(y) + 1 AS h FROM rw GROUP BY doc_id) SELECT doc_id, y + 6 AS y, w0 >> 6 AS w0, ((w0 & 63) << 26) | (w1 >> 6) AS w1, (w1 & 63) << 26 AS w2 FROM rw
+UNION ALL SELECT doc_id, CASE WHEN k < 6 THEN k ELSE h + k END AS y, 0 AS w0, 0 AS w1, 0 AS w2 FROM hh, (SELECT unnest(range(0, 12)) AS k)""", "codes", "px")
+def border_full(spark, sf_dir):
+    rows = bitmaps.bordered(fx.doc_rows(spark, sf_dir), 6, _W, ["doc_id"])
+    return rows.select("doc_id", "y", *(F.col("words")[i].alias(f"w{i}") for i in range(3)))
+
+
+@query("border_removed", f"+ {_WORDS} SELECT doc_id, y, w0, w1 FROM rw", "codes", "px")
+def border_removed(spark, sf_dir):
+    return _two(bitmaps.unbordered(bitmaps.bordered(fx.doc_rows(spark, sf_dir), 6, _W, ["doc_id"]), 6, _W + 12))
+
+
+@query("clip_white", f"""+ ys AS (SELECT doc_id, y FROM codes, (SELECT unnest(range(0, 20)) AS y)), ik AS (SELECT doc_id, x + 5 AS x, y + 2 AS y FROM px WHERE {_INK} AND x < 35)
+SELECT ys.doc_id, ys.y, CAST(coalesce(sum(CASE WHEN x < 32 THEN 1::BIGINT << (31 - x) END), 0) AS BIGINT) AS w0, CAST(coalesce(sum(CASE WHEN x >= 32 THEN 1::BIGINT << (63 - x) END), 0) AS BIGINT) AS w1 FROM ys LEFT JOIN ik ON ik.doc_id = ys.doc_id AND ik.y = ys.y GROUP BY ys.doc_id, ys.y""", "codes", "px")
+def clip_white(spark, sf_dir):
+    return _two(bitmaps.clip(fx.doc_rows(spark, sf_dir), -5, -2, 40, 20, _W, ["doc_id"]))
+
+
+@query("pixel_set", f"+ {_WORDS} SELECT doc_id, y, CASE WHEN y % 70 < 32 THEN w0 | (1::BIGINT << (31 - y % 70)) ELSE w0 END AS w0, CASE WHEN y % 70 BETWEEN 32 AND 63 THEN w1 & ~(1::BIGINT << (63 - y % 70)) ELSE w1 END AS w1 FROM rw", "codes", "px")
+def pixel_set(spark, sf_dir):
+    """Sets a pixel of the first word, clears one of the second, or changes nothing where the place is outside."""
+    at = F.col("y") % 70
+    return _two(fx.doc_rows(spark, sf_dir).withColumn("words", scalar.with_pixel(F.col("words"), at, at < 32)))
+
+
 _RUNS = "rn AS (SELECT doc_id, y, min(x) AS l, max(x) AS r FROM (SELECT doc_id, x, y, x - row_number() OVER (PARTITION BY doc_id, y ORDER BY x) AS i FROM px WHERE {ink}) GROUP BY doc_id, y, i)"
 
 
