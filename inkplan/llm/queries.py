@@ -54,6 +54,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), (5, 2, 1)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of operator 4's rows: sizes and targets."""
+    return op4_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_classes
 
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_chat_format": op3_chat_format,
         "op4_mix_sources": op4_mix_sources,
+        "mix_targets": mix_targets,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_secret_scan": op6_secret_scan,
         "op7_warc": op7_warc,
@@ -134,6 +140,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t JOIN e USING (conv_id) GROUP BY conv_id
 """
 
+# Sources in the order of the share at which they are full: one is capped if what is left for it and those after it fills it.
+_TARGETS_SQL = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
+w AS (SELECT *, [5::DOUBLE, 2::DOUBLE, 1::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight, source_size * 3::DOUBLE AS most FROM p),
+c AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER v, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER v, 0)) >= most / weight AS capped FROM w
+      WINDOW v AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT (CAST(sum(source_size) AS DOUBLE) - coalesce(sum(most) FILTER (capped), 0)) / (sum(weight) FILTER (NOT capped)) AS share FROM c)
+SELECT s.doc_id, s.size, c.source_size, CASE WHEN capped THEN most ELSE weight * share END AS target FROM s JOIN c ON s.source IS NOT DISTINCT FROM c.source CROSS JOIN f
+"""
+
 _OP5_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
@@ -158,4 +175,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op3_chat_format": _OP3_SQL, "op5_jaccard_join": _OP5_SQL, "op7_warc": _OP7_SQL}
+    return {"op1_embedding_near_dedup": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op3_chat_format": _OP3_SQL, "mix_targets": _TARGETS_SQL, "op5_jaccard_join": _OP5_SQL, "op7_warc": _OP7_SQL}
