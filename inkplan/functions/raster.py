@@ -14,7 +14,8 @@ TILE_X, TILE_Y, INK, GROW, LEAST, PAPER, REACH_X, REACH_Y = 10, 15, 60, 3, 40, 2
 
 
 def gray(pixels: bytes, width: int, height: int, stride: int, layout: str, how: str = "luma") -> np.ndarray:
-    size, at = LAYOUTS[layout], CHANNELS[layout]
+    base = PREMULTIPLIED.get(layout, layout)
+    size, at = LAYOUTS[base], CHANNELS[base]
     rows = np.zeros((height, stride), np.uint8)
     flat = np.frombuffer(pixels, np.uint8)[: height * stride]
     rows.reshape(-1)[: len(flat)] = flat

@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 #: Bytes per pixel of the interleaved layouts.
-LAYOUTS = {"Gray8": 1, "GrayAlpha16": 2, "Rgb24": 3, "Bgr24": 3, "Rgba32": 4, "Bgra32": 4, "PremultipliedRgba32": 4, "PremultipliedBgra32": 4}
-#: Layouts whose colors were multiplied by their alpha.
-PREMULTIPLIED = {"PremultipliedRgba32", "PremultipliedBgra32"}
+LAYOUTS = {"Gray8": 1, "GrayAlpha16": 2, "Rgb24": 3, "Bgr24": 3, "Rgba32": 4, "Bgra32": 4}
+#: Layouts whose colors were multiplied by their alpha, and what they are otherwise.
+PREMULTIPLIED = {"PremultipliedRgba32": "Rgba32", "PremultipliedBgra32": "Bgra32"}
 #: Where red, green, blue and alpha (or gray and alpha) lie inside a pixel.
 CHANNELS = {"Gray8": {"g": 0}, "GrayAlpha16": {"g": 0, "a": 1}, "Rgb24": {"r": 0, "g": 1, "b": 2}, "Bgr24": {"b": 0, "g": 1, "r": 2}, "Rgba32": {"r": 0, "g": 1, "b": 2, "a": 3}, "Bgra32": {"b": 0, "g": 1, "r": 2, "a": 3}}
-CHANNELS |= {name: CHANNELS[name.removeprefix("Premultiplied")] for name in PREMULTIPLIED}
 MOST_WORDS = (1 << 30) - 1
 
 
@@ -71,6 +70,7 @@ class Encoding:
 
 def check_raster(width: int, height: int, stride: int, layout: str, size: int) -> None:
     """The rules for an interleaved pixel buffer; trailing padding of the last row may be missing."""
+    layout = PREMULTIPLIED.get(layout, layout)
     _require(layout in LAYOUTS, f"layout {layout!r}")
     _require(width > 0 and height > 0, "a raster must have a positive size")
     _require(width * height < 1 << 31, "raster too large")
