@@ -26,10 +26,13 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share.
+    """A new folder name below spark.checkpoint.dir, which driver and executors share; it goes when the driver's process ends.
 
-    Where that is unset, a local master gets a folder of its own, which ends with the driver's process; on a cluster it is an error.
+    Where that is unset, a local master gets a folder of its own; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -38,7 +41,19 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = f"file://{(folder := tempfile.mkdtemp(prefix='inkplan-'))}"
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/inkplan/{name}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/inkplan/{spark.sparkContext.applicationId}"
+    if own not in _SCRATCH:
+        # whatever ends the process, an exception included, what its queries left is deleted
+        _SCRATCH[own] = name
+        atexit.register(_forget, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, uri: str) -> None:
+    try:
+        discard(spark, uri)
+    except Exception:  # noqa: BLE001 - the JVM may be gone; then the folder is left to whoever keeps the shared one
+        pass
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -70,7 +85,7 @@ def stored(df: DataFrame, uri: str) -> DataFrame:
 def discard(spark: SparkSession, uri: str) -> None:
     """Deletes a folder of scratch()."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark._jsc is None else spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def put_file(uri: str, data: bytes) -> None:

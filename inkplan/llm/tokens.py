@@ -290,7 +290,7 @@ def token_output(documents: DataFrame, tokenizer_path: str, folder: str | None =
     Null and empty texts have the end id alone; texts are encoded whole, however long. Rows with a null doc_id come first, repeated rows
     stand side by side, ties go by the text. An empty table gives no rows.
 
-    The files stay in folder, by default a new one in the shared folder.
+    The files stay in folder; by default it is one of scratch(), which goes with the process.
     """
     folder = folder or scratch(documents.sparkSession, "tokens")
     return read_shards(write_shards(documents, folder, tokenizer_path, end_id, shard_tokens))

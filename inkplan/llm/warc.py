@@ -327,6 +327,6 @@ def read_archives(archives: DataFrame, payload: bool = False, types: tuple[str,
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
-    """Writes the archives and reads them back; the files stay in folder, by default a new one in the shared folder."""
+    """Writes the archives and reads them back; the files stay in folder; by default it is one of scratch(), which goes with the process."""
     folder = folder or scratch(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder, least_bytes))
