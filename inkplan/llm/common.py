@@ -257,10 +257,11 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each run of k words inside a row; a row of 1 to k - 1 words gives its whole sequence as one."""
     h, n = words.hash, len(words.hash)
     with np.errstate(over="ignore"):
-        full = np.zeros(max(0, n - k + 1), np.uint64)
+        size = max(0, n - k + 1)
+        full = np.zeros(size, np.uint64)
         for i in range(k):
-            full = (full ^ h[i : n - k + 1 + i]) * _A + np.uint64(k)
-        keep = words.row[: n - k + 1] == words.row[k - 1 :] if n >= k else np.zeros(0, bool)
+            full = (full ^ h[i : i + size]) * _A + np.uint64(k)
+        keep = words.row[:size] == words.row[k - 1 : k - 1 + size]
         out, rows = mixed(full[keep]), words.row[: len(keep)][keep]
         counts = np.diff(words.first)
         short = np.flatnonzero((counts > 0) & (counts < k))

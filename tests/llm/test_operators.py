@@ -288,6 +288,19 @@ def test_jaccard_of_one_group(spark):
     assert sorted(map(tuple, out)) == sorted((d, len(s), low[d]) for d, s in sets)
 
 
+def test_shingles_of_few_words():
+    """Batches that hold fewer words than a shingle, and rows around its length."""
+    import pyarrow as pa
+
+    from inkplan.llm.common import Words, shingles
+
+    for texts in ([], [None], [""], ["a"], ["a b"], ["a b c"], ["a", "b c", "", "d"], ["a b c d e", "a b", "a b c d e f", "A B"]):
+        for k in (1, 3, 5):
+            h, row = shingles(Words(pa.array(texts, pa.string())), k)
+            want = [(i, s) for i, t in enumerate(texts) for s in ([tuple(w)] if 0 < len(w := (t or "").lower().split()) < k else [tuple(w[j : j + k]) for j in range(len(w) - k + 1)])]
+            assert row.tolist() == [i for i, _ in want] and len(set(h.tolist())) == len({s for _, s in want})
+
+
 def test_tallies_bound_what_sets_share():
     rng = np.random.default_rng(5)
     for n, m, common in ((0, 9, 0), (30, 25, 20), (900, 1000, 700), (5, 4000, 5)):
