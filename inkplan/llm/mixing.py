@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, scratch, stored
+from .common import fresh, scratch, stored
 
 #: Words that the dynamic program fits at first, and how many times the longest length these are at least.
 FIT_WORDS, FIT_LENGTHS = 1 << 13, 4
