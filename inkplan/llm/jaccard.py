@@ -1,7 +1,9 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is the set of its distinct k-word shingles. All sets are ordered alike: by a fixed-size sketch of how often
-each shingle occurs over all documents, rare ones first, then by hash. Two sets of similarity t or more share at least
+each shingle occurs over all documents, rare ones first, then by hash. The larger the input, the more of what the sketch
+takes for rare isn't: prefixes are made a first time to find the shingles that stand in several of them, and made again
+with those behind all others. That too is one order for all sets. Two sets of similarity t or more share at least
 l shingles among their first n - ceil(t n) + l ones, for every l. Each document picks its own l: the one for which the
 estimated cost of its candidates (postings of the prefix by the sketch, and the sets that those left by l matches have
 to read) is least.
@@ -42,6 +44,8 @@ STAR = 512
 TILE, TILE_BYTES = 1024, 8 << 20
 #: Other documents that are expected at a shingle whose count doesn't stand out from the sketch's noise.
 UNSEEN = 0.5
+#: Bytes of tiles that are laid side by side at once; more of them, up to twice what all tiles weigh, where these are more.
+LAID_BYTES = 1 << 30
 
 
 def _name(own: np.ndarray) -> tuple[int, int]:
@@ -83,8 +87,11 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """Per document: n (set size), two longs that name the set, l, and its prefix in order (level i at place n - ceil(t n) + i)."""
+def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray, crowded: IdFilter | None = None) -> DataFrame:
+    """Per document: n (set size), two longs that name the set, l, and its prefix in order (level i at place n - ceil(t n) + i).
+
+    Shingles that crowded holds, by their names in prefixes made without it, come behind all others.
+    """
     load = np.float32(sketch.mean())
     spread = np.float32(max(1.0, np.sqrt(load)))
     # levels of frequency: nothing beyond the sketch's own noise is level 0, then powers of two
@@ -96,28 +103,34 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
             for piece in pieces(batch, "text"):
                 h, row = shingles(Words(piece.column("text")), k)
                 first = np.searchsorted(row, np.arange(len(piece) + 1))
-                sizes, names, wanted, heads = [], [], [], []
-                for i in range(len(piece)):
-                    own = np.unique(h[first[i] : first[i + 1]])
-                    n = len(own)
-                    sizes.append(n)
+                sets = [np.unique(h[first[i] : first[i + 1]]) for i in range(len(piece))]
+                sizes, names, wanted, heads = [len(own) for own in sets], [], [], []
+                past = np.cumsum(sizes)
+                every = np.concatenate([np.zeros(0, np.uint64), *sets])
+                slot = _slot(every)
+                keys = (level[slot] << np.uint64(56)) | (every & np.uint64((1 << 56) - 1))
+                others = excess[slot]
+                if crowded is not None:
+                    hit = crowded.holds(keys.view(np.int64))
+                    keys[hit] |= np.uint64(1 << 63)
+                    others[hit] = np.maximum(others[hit], SEVERAL)
+                for own, n, end in zip(sets, sizes, past.tolist(), strict=True):
                     if not n:
                         names.append((0, 0))
                         wanted.append(0)
                         heads.append([])
                         continue
                     names.append(_name(own))
-                    slot = _slot(own)
-                    keys = (level[slot] << np.uint64(56)) | (own & np.uint64((1 << 56) - 1))
+                    ranks = keys[end - n : end]
                     base = n - -(-num * n // den)
                     most = min(MOST_MATCHES, n - base)
-                    order = np.argsort(keys)[: base + most]
+                    order = np.argsort(ranks)[: base + most]
                     # postings read, and candidates left (fewer with the square of the matches asked for) that each read a set
-                    postings = np.cumsum(excess[slot[order]] + UNSEEN)[base:]
+                    postings = np.cumsum(others[end - n : end][order] + UNSEEN)[base:]
                     asked = np.arange(1, most + 1)
                     pick = int(np.argmin(asked + postings + n / 2 * postings / asked**2)) + 1
                     wanted.append(pick)
-                    heads.append(keys[order[: base + pick]].view(np.int64))
+                    heads.append(ranks[order[: base + pick]].view(np.int64))
                 lengths = np.array([len(x) for x in heads], np.int64)
                 flat = np.concatenate([np.asarray(x, np.int64) for x in heads]) if len(heads) else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
@@ -129,6 +142,16 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
     return docs.mapInArrow(prefixes, "doc_id long, n long, node long, check long, l int, head array<long>")
 
 
+def _names(heads: DataFrame) -> DataFrame:
+    """One row for equal sets: n, node, check, rep (the smallest doc_id), l, head. Their copies are merged before anything is shuffled."""
+    return heads.where("n > 0 and doc_id is not null").groupBy("n", "node", "check").agg(F.min("doc_id").alias("rep"), F.first("l").alias("l"), F.first("head").alias("head"))
+
+
+def _counted(names: DataFrame) -> DataFrame:
+    """token, sets: the shingles in more than one prefix."""
+    return names.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+
+
 def _of_wanted(docs: DataFrame, k: int, wanted: DataFrame, kept) -> DataFrame:
     """node, n and kept(its sorted hashes) of the wanted nodes (node, rep); one row per node.
 
@@ -318,6 +341,21 @@ def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _spans(met: DataFrame, tiles: DataFrame, num: int, den: int, uri: str, laid: int = LAID_BYTES) -> DataFrame:
+    """_linked() of the pairs of tiles in met, stored. Each pair is a copy of two tiles: these are laid out and compared in rounds, so disk doesn't grow with the pairs."""
+    held = lambda i: tiles.select(*(F.col(c).alias(f"{c}{i}") for c in ("tile", "labels", "sizes", "hashes")))
+    weigh = lambda i: tiles.select(F.col("tile").alias(f"tile{i}"), F.length("hashes").alias(f"bytes{i}"))
+    copied = met.join(weigh(1), "tile1").join(weigh(2), "tile2").agg(F.sum(F.col("bytes1") + F.col("bytes2"))).first()[0] or 0
+    all_tiles = tiles.agg(F.sum(F.length("hashes"))).first()[0] or 0
+    rounds = max(1, -(-copied // max(laid, 2 * all_tiles)))
+    out = []
+    for i in range(rounds):
+        own = met.where(F.pmod(F.xxhash64("tile1", "tile2"), F.lit(rounds)) == i)
+        out.append(stored(_linked(own.join(held(1), "tile1").join(held(2), "tile2"), num, den).distinct(), f"{uri}/{i}"))
+    spark = tiles.sparkSession
+    return spark.read.schema(out[0].schema).parquet(*(f"{uri}/{i}" for i in range(rounds)))
+
+
 def _met(members: DataFrame, open_tokens: DataFrame, num: int, den: int) -> DataFrame:
     """tile1, tile2: the pairs of tiles that have a shingle in common, for sets of different labels and of sizes that may link."""
     spread = lambda c: (F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}"))
@@ -345,18 +383,21 @@ def jaccard_links(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     base = scratch(spark, "jaccard")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = _sketch(docs, k)
-    heads = stored(_prefixes(docs, k, num, den, sketch), f"{base}/heads")
-    # equal sets become one row; their copies are merged before anything is shuffled
-    names = stored(
-        heads.where("n > 0 and doc_id is not null").groupBy("n", "node", "check").agg(F.min("doc_id").alias("rep"), F.first("l").alias("l"), F.first("head").alias("head")),
-        f"{base}/names",
-    )
+    heads = stored(_prefixes(docs, k, num, den, sketch), f"{base}/first")
+    # what stands in several prefixes, rare as the sketch may find it, makes way for other shingles
+    several = stored(_counted(_names(heads)).where(F.col("sets") >= min(SEVERAL, common)), f"{base}/several")
+    if count := several.count():
+        crowded = IdFilter(several, "token", count)
+        discard(spark, f"{base}/first")
+        heads = stored(_prefixes(docs, k, num, den, sketch, crowded), f"{base}/heads")
+    names = stored(_names(heads), f"{base}/names")
     members = heads.select("doc_id", "n", "node", "check").join(names.select("n", "node", "check", "rep"), ["n", "node", "check"], "left")
     known = F.col("rep").isNotNull() & F.col("doc_id").isNotNull()
     members = stored(members.select("doc_id", "n", F.when(known, F.col("node")).alias("node"), F.when(known, F.col("rep")).alias("rep")), f"{base}/members")
-    discard(spark, f"{base}/heads")
+    for name in ("first", "several", "heads"):
+        discard(spark, f"{base}/{name}")
     reps = names.select("node", "rep")
-    counted = stored(names.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), f"{base}/counted")
+    counted = stored(_counted(names), f"{base}/counted")
 
     # near copies are settled against pivots
     several = counted.where(F.col("sets") >= min(SEVERAL, common))
@@ -424,8 +465,7 @@ def jaccard_links(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     rows = lead.select("node", "n", "label").distinct().join(stars.select("node", "pivot"), "node", "left").select("node", "n", "label", F.coalesce("pivot", "node").alias("block"))
     tiles = stored(_tiles(rows.join(sets.select("node", "hashes"), "node")), f"{base}/tiles")
     met = stored(_met(_tile_members(tiles), lead.select("token", "node"), num, den), f"{base}/met")
-    held = lambda i: tiles.select(*(F.col(c).alias(f"{c}{i}") for c in ("tile", "labels", "sizes", "hashes")))
-    spans = stored(_linked(met.join(held(1), "tile1").join(held(2), "tile2"), num, den).distinct(), f"{base}/spans")
+    spans = _spans(met, tiles, num, den, f"{base}/spans")
 
     full = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
     links = _verified(full, num, den).unionByName(spans).unionByName(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))

@@ -272,6 +272,31 @@ def test_jaccard(spark, k, num, den, common):
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id) for r in out) == want
 
 
+def test_jaccard_prefixes_without_crowded_shingles(spark):
+    # a sketch that finds nothing frequent, as one of a very large input
+    rows = [(i, " ".join([*(f"all{j}" for j in range(40)), *(f"w{i}x{j}" for j in range(60))])) for i in range(80)]
+    given, flat = docs(spark, rows).repartition(3), np.zeros(1 << jaccard.SKETCH_BITS, np.float32)
+    before = jaccard._counted(jaccard._names(jaccard._prefixes(given, 3, 9, 10, flat))).cache()
+    assert before.where("sets >= 8").count() > 0
+    crowded = jaccard.IdFilter(before, "token", before.count())
+    names = jaccard._names(jaccard._prefixes(given, 3, 9, 10, flat, crowded))
+    assert names.count() == 80 and jaccard._counted(names).join(before, "token", "left_semi").count() == 0
+
+
+def test_jaccard_tiles_in_rounds(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    pool = rng.integers(1, 1 << 60, 40)
+    sets = [np.sort(rng.choice(pool, 36, replace=False)) for _ in range(24)]
+    parts = [sets[i : i + 4] for i in range(0, 24, 4)]
+    raw = lambda x: np.asarray(x, np.int64).tobytes()
+    rows = [(t, raw(range(4 * t, 4 * t + 4)), raw([len(x) for x in own]), b"".join(map(raw, own))) for t, own in enumerate(parts)]
+    tiles = spark.createDataFrame([(t, labels, sizes, hashes) for t, labels, sizes, hashes in rows], "tile long, labels binary, sizes binary, hashes binary")
+    met = spark.createDataFrame([(a, b) for a in range(6) for b in range(a, 6)], "tile1 long, tile2 long")
+    found = [{tuple(r) for r in jaccard._spans(met, tiles, 8, 10, f"file://{tmp_path}/{laid}", laid).collect()} for laid in (1, 1 << 30)]
+    assert found[0] == found[1] and found[0]
+    assert len(list((tmp_path / "1").iterdir())) > 1 and len(list((tmp_path / str(1 << 30)).iterdir())) == 1
+
+
 def test_jaccard_of_one_group(spark):
     """A large group of near copies around one text, sets with one common passage, and a chain that only its neighbours link."""
     rng = random.Random(50)
