@@ -99,32 +99,56 @@ def shift_between(a: str, b: str):
     return scalar.round_away(F.col(a) - F.col(b))
 
 
+def _met(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs with top_a, lines_a and ink_a of bitmap a (its first row's y, the words of each row from there on, its ink), and so for b.
+
+    A pair stays one row, and a bitmap without rows is null. Joined by sorting: from the files' size Spark takes exploded rows for few,
+    however many they are, and would gather them on the driver.
+    """
+    every = F.sort_array(F.collect_list(F.struct("y", "words")))
+    whole = rows.groupBy("key").agg(F.min("y").alias("top"), F.max("y").alias("end"), every.alias("every"), F.sum(scalar.black_count(F.col("words"))).alias("ink"))
+    words = F.transform("every", lambda r: r["words"])
+    # rows that aren't given are white
+    at = F.map_from_entries("every")
+    lines = F.when(F.size("every") == F.col("end") - F.col("top") + 1, words).otherwise(F.transform(F.sequence("top", "end"), lambda y: F.try_element_at(at, y)))
+    whole = whole.select("key", "top", lines.alias("lines"), "ink")
+    for side in ("a", "b"):
+        own = whole.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("top", "lines", "ink")))
+        pairs = pairs.join(own.hint("merge"), side, "left")
+    return pairs
+
+
+def _both(dx, dy):
+    """Of _met(): the ink of a that b, moved by (dx, dy), shares."""
+    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<bigint>)")
+
+    def row(n, i):
+        p, q = F.coalesce(F.get("lines_a", i.cast("int")), none), F.coalesce(F.get("lines_b", (i + F.col("top_a") - dy - F.col("top_b")).cast("int")), none)
+        word = lambda m, k: m + F.bit_count(F.get(p, k).bitwiseAND(scalar.word_window(q, F.size(q), k * 32 - dx))).cast("long")
+        return n + F.when((F.size(p) > 0) & (F.size(q) > 0), F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), zero, word)).otherwise(zero)
+
+    return F.when(F.col("lines_a").isNotNull() & F.col("lines_b").isNotNull(), F.aggregate(F.sequence(F.lit(0), F.size("lines_a") - 1), zero, row)).otherwise(zero)
+
+
 def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """pairs (a, b, dx, dy, anything else) with both: ink of bitmap a that bitmap b, moved by (dx, dy), shares.
 
-    rows: key, y, words - bitmaps of any width. Equi-joins on bitmap and row alone; counts are merged before the shuffle.
+    rows: key, y, words - bitmaps of any width, one row for each y; no ink where a bitmap has no rows.
     """
-    left = rows.select(F.col("key").alias("a"), "y", F.col("words").alias("p"))
-    right = rows.select(F.col("key").alias("b"), F.col("y").alias("yb"), F.col("words").alias("q"))
-    met = pairs.join(left, "a").withColumn("yb", F.col("y") - F.col("dy")).join(right, ["b", "yb"])
-    shifted = lambda k: scalar.word_window(F.col("q"), F.size("q"), k * 32 - F.col("dx"))
-    common = F.aggregate(F.sequence(F.lit(0), F.size("p") - 1), F.lit(0).cast("long"), lambda n, k: n + F.bit_count(F.get("p", k).bitwiseAND(shifted(k))).cast("long"))
-    count = met.groupBy(*pairs.columns).agg(F.sum(common).alias("both"))
-    return pairs.join(count, pairs.columns, "left").withColumn("both", F.coalesce("both", F.lit(0).cast("long")))
+    return _met(pairs, rows).select(*pairs.columns, _both(F.col("dx"), F.col("dy")).alias("both"))
 
 
 def correlated(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """overlaps() with both inks and match: whether both ** 2 reaches threshold (single precision) times the product of the inks."""
-    ink = rows.groupBy("key").agg(F.sum(scalar.black_count(F.col("words"))).alias("ink"))
-    found = overlaps(pairs, rows).join(ink.select(F.col("key").alias("a"), F.col("ink").alias("ink_a")), "a").join(ink.select(F.col("key").alias("b"), F.col("ink").alias("ink_b")), "b")
+    """overlaps() with both inks and match: whether both ** 2 reaches threshold (single precision) times the product of the inks; pairs of bitmaps with rows alone."""
+    found = _met(pairs, rows).where("lines_a is not null and lines_b is not null").select(*pairs.columns, _both(F.col("dx"), F.col("dy")).alias("both"), "ink_a", "ink_b")
     need = F.ceil(F.sqrt(F.lit(threshold).cast("float").cast("double") * F.col("ink_a") * F.col("ink_b"))).cast("long")
     return found.withColumn("match", F.col("both") >= need)
 
 
-def refined(pairs: DataFrame, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+def refined(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """a, b, dx, dy: the move by at most a pixel under which the two differ least; the first of equals, rows from above."""
-    steps = F.explode(F.array(*(F.struct(F.lit(3 * (y + 1) + x + 1).alias("rank"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for y in (-1, 0, 1) for x in (-1, 0, 1))))
-    moved = pairs.select("a", "b", steps.alias("s")).select("a", "b", "s.dx", "s.dy", "s.rank")
-    found = correlated(moved, rows, threshold).withColumn("differs", F.col("ink_a") + F.col("ink_b") - 2 * F.col("both"))
-    best = F.min(F.struct("differs", "rank", "dx", "dy"))
-    return found.groupBy("a", "b").agg(best.alias("m")).select("a", "b", "m.dx", "m.dy", "m.differs")
+    steps = [(3 * (y + 1) + x + 1, x, y) for y in (-1, 0, 1) for x in (-1, 0, 1)]
+    differs = lambda x, y: F.col("ink_a") + F.col("ink_b") - 2 * _both(F.lit(x), F.lit(y))
+    best = F.least(*(F.struct(differs(x, y).alias("differs"), F.lit(rank).alias("rank"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for rank, x, y in steps))
+    met = _met(pairs.select("a", "b"), rows).where("lines_a is not null and lines_b is not null")
+    return met.select("a", "b", best.alias("m")).select("a", "b", "m.dx", "m.dy", "m.differs")

@@ -193,3 +193,25 @@ def test_oracles_agree(spark):
         want = Counter(tuple(map(rounded, r)) for r in con.sql(ORACLES[name]).select(*(f'"{c}"' for c in columns)).fetchall())
         assert got == want, (name, list((got - want).items())[:3], list((want - got).items())[:3])
     assert symbols.bits_for(5) == 3 and F is not None
+
+
+def _no_broadcast(spark, query, folder):
+    """The query's rows, planned where Spark takes every table for small."""
+    from inkplan.queries import QUERIES
+
+    df = QUERIES[query](spark, folder)
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("query", ["correlation_pairs", "correlation_wide", "placement_wide", "placement_refined"])
+def test_bitmaps_are_not_gathered_on_the_driver(spark, query):
+    _no_broadcast(spark, query, "/root/testdata/sf0.001")
+
+
+def test_overlaps_of_bitmaps_with_missing_rows(spark):
+    from inkplan.operators import symbols as sym
+
+    rows = spark.createDataFrame([(1, 0, [0xF0000000]), (1, 3, [0x0F000000]), (2, 1, [0xF0000000]), (2, 2, [0xFFFFFFFF]), (2, 4, [0x3C000000])], "key long, y long, words array<long>")
+    pairs = spark.createDataFrame([(1, 2, 0, 0), (1, 2, 0, -1), (1, 2, 2, -1), (2, 1, 0, 1), (1, 9, 0, 0)], "a long, b long, dx int, dy int")
+    got = {tuple(r) for r in sym.overlaps(pairs, rows).collect()}
+    assert got == {(1, 2, 0, 0, 0), (1, 2, 0, -1, 6), (1, 2, 2, -1, 6), (2, 1, 0, 1, 6), (1, 9, 0, 0, 0)}
