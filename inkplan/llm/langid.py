@@ -57,14 +57,15 @@ class Grams:
         letter, script = _tables()
         lowered = [(t or "").lower() for t in texts]
         lengths = np.array([len(t) for t in lowered], np.int64)
-        code = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = letter[code]
         # marks are part of a word where a letter, or marks alone after one, stand before them
-        last = np.maximum.accumulate(np.where(kind != 2, np.arange(len(kind)), 0))
+        last = np.maximum.accumulate(np.where(kind != 2, np.arange(len(kind), dtype=np.int32), np.int32(0)))
         solid = kind[last] == 1
-        code = np.where(solid, code, 0).astype(np.uint32)
-        before = np.concatenate([[0], code[:-1]]).astype(np.uint32)
-        earlier = np.concatenate([[0], before[:-1]]).astype(np.uint32)
+        code = np.where(solid, code, np.uint32(0))
+        del kind, last, solid
+        before = np.concatenate([np.zeros(1, np.uint32), code[:-1]])
+        earlier = np.concatenate([np.zeros(1, np.uint32), before[:-1]])
         earlier[before == 0] = 0
         with np.errstate(over="ignore"):
             mix = earlier * np.uint32(0x9E3779B1) ^ before * np.uint32(0x85EBCA77) ^ code * np.uint32(0xC2B2AE3D)

@@ -737,3 +737,15 @@ def test_entry_survives_without_this_subpackage(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import json, __spark_entry__ as e; print(json.dumps(sorted(e.queries())))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
     names = json.loads(said.stdout)
     assert "encode_lossless" in names and not any(n.startswith("op") or n == "pipeline" for n in names) and F is not None
+
+
+def test_grams_take_little_memory():
+    import tracemalloc
+
+    texts = ["Das ist ein Satz, und noch einer. " * 2000] * 8
+    langid.Grams(texts)
+    tracemalloc.start()
+    langid.Grams(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * sum(map(len, texts))
