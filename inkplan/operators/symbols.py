@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from inkplan.functions import overlaps as kernels
 from inkplan.functions import scalar
 from inkplan.functions.shapes import WALK
 
@@ -99,35 +103,37 @@ def shift_between(a: str, b: str):
     return scalar.round_away(F.col(a) - F.col(b))
 
 
-def _met(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """pairs with top_a, lines_a and ink_a of bitmap a (its first row's y, the words of each row from there on, its ink), and so for b.
+def _met(pairs: DataFrame, rows: DataFrame, columns: str, kernel, every: bool = False) -> DataFrame:
+    """pairs with the named columns, which kernel makes from a batch of pairs and their bitmaps; every: a bitmap without rows is white, else its pairs go.
 
-    A pair stays one row, and a bitmap without rows is null. Joined by sorting: from the files' size Spark takes exploded rows for few,
-    however many they are, and would gather them on the driver.
+    A pair is one row, a bitmap one value. Joined by sorting: from the files' size Spark takes exploded rows for few, however
+    many they are, and would gather them on the driver.
     """
-    every = F.sort_array(F.collect_list(F.struct("y", "words")))
-    whole = rows.groupBy("key").agg(F.min("y").alias("top"), F.max("y").alias("end"), every.alias("every"), F.sum(scalar.black_count(F.col("words"))).alias("ink"))
-    words = F.transform("every", lambda r: r["words"])
-    # rows that aren't given are white
-    at = F.map_from_entries("every")
-    lines = F.when(F.size("every") == F.col("end") - F.col("top") + 1, words).otherwise(F.transform(F.sequence("top", "end"), lambda y: F.try_element_at(at, y)))
-    whole = whole.select("key", "top", lines.alias("lines"), "ink")
-    for side in ("a", "b"):
-        own = whole.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("top", "lines", "ink")))
-        pairs = pairs.join(own.hint("merge"), side, "left")
-    return pairs
+    more = StructType.fromDDL(columns)
+    names, schema = pairs.columns, StructType([*pairs.schema.fields, *more.fields])
+
+    def pack(batches):
+        for batch in batches:
+            yield kernels.pack_rows(batch)
 
+    def run(batches):
+        for batch in batches:
+            for piece in kernels.pieces(batch):
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(names)], *map(pa.array, kernel(piece))], schema.names)
 
-def _both(dx, dy):
-    """Of _met(): the ink of a that b, moved by (dx, dy), shares."""
-    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<bigint>)")
+    key = StructType([StructField("key", rows.schema["key"].dataType), StructField("part", BinaryType())])
+    parts = rows.where("key is not null").select("key", F.col("y").cast("long").alias("y"), F.col("words").cast("array<long>").alias("words")).mapInArrow(pack, key)
+    whole, met = parts.groupBy("key").agg(F.collect_list("part").alias("bits")), pairs
+    for side in ("a", "b"):
+        own = whole.select(F.col("key").alias(side), F.col("bits").alias(f"bits_{side}"))
+        met = met.join(own.hint("merge"), side, "left" if every else "inner")
+    return met.select(*names, "bits_a", "bits_b").mapInArrow(run, schema)
 
-    def row(n, i):
-        p, q = F.coalesce(F.get("lines_a", i.cast("int")), none), F.coalesce(F.get("lines_b", (i + F.col("top_a") - dy - F.col("top_b")).cast("int")), none)
-        word = lambda m, k: m + F.bit_count(F.get(p, k).bitwiseAND(scalar.word_window(q, F.size(q), k * 32 - dx))).cast("long")
-        return n + F.when((F.size(p) > 0) & (F.size(q) > 0), F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), zero, word)).otherwise(zero)
 
-    return F.when(F.col("lines_a").isNotNull() & F.col("lines_b").isNotNull(), F.aggregate(F.sequence(F.lit(0), F.size("lines_a") - 1), zero, row)).otherwise(zero)
+def _moved(piece: pa.RecordBatch) -> tuple[kernels.Pairs, np.ndarray]:
+    dx, dy = (np.asarray(piece.column(c), np.int64) for c in ("dx", "dy"))
+    found = kernels.Pairs(piece.column("bits_a"), piece.column("bits_b"), (int(abs(dy).max()), int(abs(dx).max())))
+    return found, found.shared(dx, dy)
 
 
 def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -135,20 +141,25 @@ def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
     rows: key, y, words - bitmaps of any width, one row for each y; no ink where a bitmap has no rows.
     """
-    return _met(pairs, rows).select(*pairs.columns, _both(F.col("dx"), F.col("dy")).alias("both"))
+    return _met(pairs, rows, "both long", lambda piece: [_moved(piece)[1]], every=True)
 
 
 def correlated(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """overlaps() with both inks and match: whether both ** 2 reaches threshold (single precision) times the product of the inks; pairs of bitmaps with rows alone."""
-    found = _met(pairs, rows).where("lines_a is not null and lines_b is not null").select(*pairs.columns, _both(F.col("dx"), F.col("dy")).alias("both"), "ink_a", "ink_b")
+
+    def kernel(piece):
+        found, both = _moved(piece)
+        return both, found.ink_a, found.ink_b
+
     need = F.ceil(F.sqrt(F.lit(threshold).cast("float").cast("double") * F.col("ink_a") * F.col("ink_b"))).cast("long")
-    return found.withColumn("match", F.col("both") >= need)
+    return _met(pairs, rows, "both long, ink_a long, ink_b long", kernel).withColumn("match", F.col("both") >= need)
 
 
 def refined(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """a, b, dx, dy: the move by at most a pixel under which the two differ least; the first of equals, rows from above."""
-    steps = [(3 * (y + 1) + x + 1, x, y) for y in (-1, 0, 1) for x in (-1, 0, 1)]
-    differs = lambda x, y: F.col("ink_a") + F.col("ink_b") - 2 * _both(F.lit(x), F.lit(y))
-    best = F.least(*(F.struct(differs(x, y).alias("differs"), F.lit(rank).alias("rank"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for rank, x, y in steps))
-    met = _met(pairs.select("a", "b"), rows).where("lines_a is not null and lines_b is not null")
-    return met.select("a", "b", best.alias("m")).select("a", "b", "m.dx", "m.dy", "m.differs")
+
+    def kernel(piece):
+        dx, dy, differs = kernels.Pairs(piece.column("bits_a"), piece.column("bits_b"), (1, 1)).best()
+        return dx.astype(np.int32), dy.astype(np.int32), differs
+
+    return _met(pairs.select("a", "b"), rows, "dx int, dy int, differs long", kernel)

@@ -215,3 +215,67 @@ def test_overlaps_of_bitmaps_with_missing_rows(spark):
     pairs = spark.createDataFrame([(1, 2, 0, 0), (1, 2, 0, -1), (1, 2, 2, -1), (2, 1, 0, 1), (1, 9, 0, 0)], "a long, b long, dx int, dy int")
     got = {tuple(r) for r in sym.overlaps(pairs, rows).collect()}
     assert got == {(1, 2, 0, 0, 0), (1, 2, 0, -1, 6), (1, 2, 2, -1, 6), (2, 1, 0, 1, 6), (1, 9, 0, 0, 0)}
+
+
+@pytest.mark.parametrize("query", ["placement_wide", "placement_refined"])
+def test_placements_fold_no_words_in_lambdas(spark, query):
+    """Nine moves of every word as interpreted lambdas didn't end on millions of pairs."""
+    from inkplan.queries import QUERIES
+
+    plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(sequence" not in plan and "MapInArrow" in plan
+
+
+def test_moves_of_bitmaps_with_far_rows(spark):
+    """Rows far apart take no memory for the white ones between them."""
+    from inkplan.operators import symbols as sym
+
+    far = 1 << 40
+    rows = spark.createDataFrame([(1, 0, [0x18000000]), (1, far, [0x1, 0x80000000]), (2, 1, [0x0C000000]), (2, far + 1, [0x0, 0xC0000000]), (3, 5, [0x0])], "key long, y long, words array<long>")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (1, 9)], "a long, b long")
+    got = {tuple(r) for r in sym.refined(pairs, rows).collect()}
+    assert got == {(1, 2, -1, -1, 0), (2, 1, 1, 1, 0), (1, 3, -1, -1, 4)}
+
+
+def test_overlaps_against_kernels_on_one_pair():
+    import pyarrow as pa
+
+    from inkplan.functions import overlaps, shapes
+
+    rng = np.random.default_rng(5)
+    pages = [rng.random((rng.integers(1, 9), 32 * rng.integers(1, 4))) < 0.4 for _ in range(60)]
+    batches = []
+    for key, page in enumerate(pages):
+        words = np.packbits(page, axis=1).view(">u4").astype(np.int64).tolist()
+        for y in rng.permutation(len(words)).tolist():
+            batches.append((key, y, words[y]))
+    rows = pa.RecordBatch.from_arrays([pa.array([r[0] for r in batches]), pa.array([r[1] for r in batches]), pa.array([r[2] for r in batches], pa.list_(pa.int64()))], ["key", "y", "words"])
+    packed = [overlaps.pack_rows(x) for x in (rows.slice(0, 100), rows.slice(100))]
+    parts = [[part for b in packed for k, part in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True) if k == key] for key in range(60)]
+    bits = pa.array(parts, pa.list_(pa.binary()))
+    a, b = bits.slice(0, 30), bits.slice(30)
+    dx, dy = rng.integers(-70, 70, 30), rng.integers(-3, 4, 30)
+    found = overlaps.Pairs(a, b, (3, 70))
+    assert found.shared(dx, dy).tolist() == [shapes.overlap(pages[i], pages[30 + i], int(dx[i]), int(dy[i])) for i in range(30)]
+    x, y, differs = found.best()
+    for i in range(30):
+        both = [(pages[i].sum() + pages[30 + i].sum() - 2 * shapes.overlap(pages[i], pages[30 + i], u, v), 3 * (v + 1) + u + 1) for v in (-1, 0, 1) for u in (-1, 0, 1)]
+        assert min(both) == (differs[i], 3 * (y[i] + 1) + x[i] + 1)
+    with pytest.raises(ValueError, match="two rows"):
+        overlaps.Pairs(a, pa.array([p + p for p in parts[30:]], pa.list_(pa.binary())), (1, 1))
+
+
+def test_rows_of_texts_by_code_points():
+    import pyarrow as pa
+
+    from inkplan.functions import overlaps
+
+    texts = ["é€😀aŁ", "x" * 64 + "\U0001f600", "m", "ab" * 100]
+    got = overlaps.text_rows(pa.array(range(9, 14)).slice(1), pa.array(["skipped ü", *texts]).slice(1), 64, 110).to_pylist()
+    want = []
+    for i, t in enumerate(texts):
+        black = [ord(c) & 255 < 110 for c in t] + [False] * (-len(t) % 64)
+        for y in range(len(black) // 64):
+            line = black[64 * y : 64 * y + 64]
+            want.append({"doc_id": 10 + i, "y": y, "words": [sum(v << (31 - k) for k, v in enumerate(line[32 * w : 32 * w + 32])) for w in (0, 1)]})
+    assert got == want
