@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplan.functions import scalar
+from inkplan.functions import overlaps, scalar
 
 WIDTH = 64
 INK, BLANK = 110, 33
@@ -37,10 +37,14 @@ def doc_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_rows(spark: SparkSession, sf_dir: str, limit: int = INK) -> DataFrame:
     """doc_id, y, words: levels under limit are black."""
-    count = scalar.div(F.size("codes").cast("long"), WIDTH)
-    row = lambda y: F.transform(F.slice("codes", (y * WIDTH + 1).cast("int"), F.lit(WIDTH)), lambda g: (g < limit).cast("long"))
-    rows = doc_codes(spark, sf_dir).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), count - 1), row)).alias("y", "bits"))
-    return rows.select("doc_id", F.col("y").cast("long").alias("y"), scalar.packed(F.col("bits")).alias("words"))
+
+    def run(batches):
+        for batch in batches:
+            for piece in overlaps.text_pieces(batch, "text"):
+                yield overlaps.text_rows(*piece.columns, WIDTH, limit)
+
+    docs = _table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, y long, words array<long>")
 
 
 def doc_pages(spark: SparkSession, sf_dir: str, limit: int = INK) -> DataFrame:

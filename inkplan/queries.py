@@ -430,7 +430,8 @@ _NEXT = f"ink AS (SELECT doc_id, x, y FROM px WHERE {_INK}), pr AS (SELECT doc_i
 def _neighbours(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Pages of 64 columns, each with the one before it. One row per page is sorted."""
     rows = fx.doc_rows(spark, sf_dir).withColumnRenamed("doc_id", "key")
-    pairs = rows.select("key").distinct().select(F.col("key").alias("a"), F.lag("key").over(Window.orderBy("key")).alias("b")).where("b is not null")
+    keys = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("key")).distinct()
+    pairs = keys.select(F.col("key").alias("a"), F.lag("key").over(Window.orderBy("key")).alias("b")).where("b is not null")
     return pairs, rows
 
 
