@@ -12,9 +12,12 @@ import json
 import re
 import struct
 import zlib
+from array import array
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -25,8 +28,8 @@ from .common import get_file, pieces, put_file, scratch, stored
 MAGIC = b"WMTX0001"
 #: A shard is closed by the document that brings it to so many tokens.
 SHARD_TOKENS = 1 << 21
-#: Words that a worker remembers at most.
-CACHE_WORDS = 600_000
+#: Words and pieces of words that a worker remembers at most.
+CACHE_WORDS = 800_000
 _BLOCK = 512
 
 
@@ -47,14 +50,15 @@ def pack_shard(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     sections, zeros = [], []
     for b in range(bits - 1, -1, -1):
-        on = (left >> b & 1).astype(bool)
         plane = np.zeros(-(-n // _BLOCK) * _BLOCK // 8, np.uint8)
-        packed = np.packbits(on, bitorder="little")
+        packed = np.packbits((left & left.dtype.type(1 << b)) != 0, bitorder="little")
         plane[: len(packed)] = packed
         sections += [squeeze(plane.tobytes()), squeeze(_ones_before(plane.view(np.uint64)).tobytes())]
-        low = left[~on]
+        # Arrow parts by the bits as they are, in half the time that numpy takes
+        on, values = pa.BooleanArray.from_buffers(pa.bool_(), n, [None, pa.py_buffer(plane)]), pa.array(left)
+        low, high = np.asarray(values.filter(pc.invert(on))), np.asarray(values.filter(on))
         zeros.append(len(low))
-        left = np.concatenate([low, left[on]])
+        left = np.concatenate([low, high])
     sections += [squeeze(json.dumps(doc_ids).encode()), squeeze(np.asarray(lengths, np.int64).tobytes())]
     head = json.dumps({"n": n, "bits": bits, "zeros": zeros, "docs": len(doc_ids), "sizes": [len(s) for s in sections]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(sections)
@@ -146,8 +150,8 @@ class Shard:
             words, _ = self._plane(k)
             on = np.unpackbits(words.view(np.uint8), count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, kind)
-            above[~on] = values[: self.zeros[k]]
-            above[on] = values[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
+            above[np.flatnonzero(~on)] = values[: self.zeros[k]]
+            above[np.flatnonzero(on)] = values[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             values = above
         return values
 
@@ -171,7 +175,7 @@ _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 
 
 class WordIds(dict):
-    """Word to its ids as little-endian bytes of kind; each piece of a word is encoded once by the library's model.
+    """Word to its ids as bytes of kind; each piece of a word is a word too, encoded once by the library's model.
 
     That holds for files with _RULES; texts of any other file, or with characters or tokens beyond them, go to the library whole.
     """
@@ -187,29 +191,34 @@ class WordIds(dict):
         self.added = [t["content"] for t in rules.get("added_tokens") or ()]
         most = max([end_id, *self.tokenizer.get_vocab(True).values()])
         self.kind = "<u2" if most < 1 << 16 else "<u4"
+        self.code = "H" if most < 1 << 16 else "I"
         self.model, self.cuts = self.tokenizer.model, re.compile(_CUTS).findall
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         spare = iter(range(256, 512))
         self.letters = {b: chr(b if b in shown else next(spare)) for b in range(256)}
-        self.parts: dict[str, bytes] = {}
+
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        out = self.older.get(word)
+        if out is None:
+            # letters alone are one piece, and a piece is cut no further
+            if word.isalpha() or len(cut := self.cuts(word)) == 1:
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                out = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+            else:
+                out = b"".join(map(self.__getitem__, cut))
+        if len(self) >= CACHE_WORDS // 2:
+            # words that stood in neither half are forgotten, frequent ones come back
+            self.older = self.copy()
             self.clear()
-            self.parts.clear()
-        out = b""
-        for piece in self.cuts(word):
-            ids = self.parts.get(piece)
-            if ids is None:
-                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                ids = self.parts[piece] = np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
-            out += ids
         self[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
         if self.quick and _PLAIN.fullmatch(text) and not any(t in text for t in self.added):
-            return b"".join(map(self.__getitem__, text.lower().split()))
+            # one call looks all words up; it takes two keys at least to give a tuple
+            return b"".join(itemgetter("", "", *text.lower().split())(self))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
 

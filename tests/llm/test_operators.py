@@ -749,3 +749,22 @@ def test_grams_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 * sum(map(len, texts))
+
+
+def test_tokens_remember_frequent_words(monkeypatch):
+    """When the memory of words is full, those that come again stay known; ids are the library's either way."""
+    import public_tokenizers
+
+    from inkplan.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 80)
+    words = tokens.WordIds(public_tokenizers.path("word_bpe_49k.json"), 1)
+    asked = []
+
+    class Model:
+        tokenize = staticmethod(lambda piece, model=words.model: asked.append(piece) or model.tokenize(piece))
+
+    words.model = Model
+    text = " ".join(f"Zürich {a}{b}, the (zürich) it's 'so''{a}" for a in "abcdef" for b in "ghijkl")
+    assert np.frombuffer(words.encode(text), words.kind).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked.count("the") == 1 and len(words) + len(words.older) <= 80
