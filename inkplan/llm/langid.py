@@ -24,7 +24,7 @@ FIT_DOCUMENTS = 5_000
 #: Cost of a change of language between two words, in nats.
 SWITCH = 8.0
 #: Text bytes that are scored at once, for so many languages; fewer for more of them.
-SCORED_BYTES, SCORED_LANGUAGES = 4 << 20, 16
+SCORED_BYTES, SCORED_LANGUAGES = 1 << 20, 16
 _SMOOTH = 0.5
 _NEVER = np.float32(-1e9)
 
@@ -95,7 +95,7 @@ def _counts(labelled: DataFrame) -> list[tuple[str, np.ndarray]]:
     def count(batches):
         langs: dict[str, np.ndarray] = {}
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SCORED_BYTES):
                 grams, names = Grams(piece.column("text").to_pylist()), np.array(piece.column("lang").to_pylist(), object)
                 word_lang = names[grams.row]
                 for lang in set(names.tolist()):

@@ -751,6 +751,26 @@ def test_grams_take_little_memory():
     assert peak < 40 * sum(map(len, texts))
 
 
+def test_language_pieces_take_little_memory():
+    """All that is made for a piece of texts, words and scores included, with four languages."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from inkplan.llm import langid
+    from inkplan.llm.common import pieces
+
+    model = langid.Model(list("abcd"), np.zeros((langid.SLOTS, 4), np.float32), np.ones((len(langid._NAMES), 4), bool))
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words of a text " * 100] * 4000)], ["text"])
+    model.predict(["a"])
+    piece = next(pieces(batch, "text", model.bytes_at_once()))
+    tracemalloc.start()
+    model.predict(piece.column(0).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
 def test_tokens_remember_frequent_words(monkeypatch):
     """When the memory of words is full, those that come again stay known; ids are the library's either way."""
     import public_tokenizers
