@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -107,8 +108,32 @@ def get_file(uri: str) -> bytes:
         return source.read()
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system.
+
+    Python's workers outlive their tasks and Spark keeps several per executor: what their allocators hold on to adds up.
+    """
+    pa.default_memory_pool().release_unused()
+    # glibc's; other C libraries have none
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def giving_back(run):
+    """run, a function for mapInArrow, followed by give_back() when a task has come to its end."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES):
-    """Slices of batch whose texts in column take about limit bytes each; a longer text is a slice of its own."""
+    """Slices of batch whose texts in column take about limit bytes each; a longer text is a slice of its own.
+
+    What the work on them has freed is given back after the last one.
+    """
     texts = batch.column(column)
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
     if not len(sizes):
@@ -117,6 +142,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES):
     cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+    give_back()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +209,8 @@ class IdFilter:
         from pyspark.sql import functions as F
 
         self.bits = np.zeros(size, np.uint64)
-        merged = ids.select(F.col(column).cast("long").alias("id")).where("id is not null").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-        for at, bits in merged.mapInArrow(columns, "word binary, bits binary").collect():
+        merged = ids.select(F.col(column).cast("long").alias("id")).where("id is not null").mapInArrow(giving_back(words), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        for at, bits in merged.mapInArrow(giving_back(columns), "word binary, bits binary").collect():
             self.bits[np.frombuffer(at, np.int64)] = np.frombuffer(bits, np.int64).view(np.uint64)
 
     @staticmethod

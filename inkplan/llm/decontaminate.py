@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, IdFilter, Words, discard, fresh, mixed, pieces, scratch, stored
+from .common import PUNCTUATION, IdFilter, Words, discard, fresh, giving_back, mixed, pieces, scratch, stored
 
 #: 1: the word counts, 0: any word may stand there.
 MASKS = ("11111", "1110111", "11011011", "1011001101")
@@ -266,7 +266,7 @@ def _seed_table(items: DataFrame, masks: list[str], shortest: int) -> DataFrame:
                 for h, at in _item_seeds(words, masks, shortest):
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), piece.column("item").take(pa.array(words.row[at]))], ["seed", "item"])
 
-    return items.mapInArrow(run, "seed long, item long").distinct()
+    return items.mapInArrow(giving_back(run), "seed long, item long").distinct()
 
 
 def _text_seeds(texts: DataFrame, masks: list[str], known: IdFilter) -> DataFrame:
@@ -283,7 +283,7 @@ def _text_seeds(texts: DataFrame, masks: list[str], known: IdFilter) -> DataFram
                         own = _distinct(np.stack([words.row[at[hit]], h[hit].view(np.int64)], axis=1))
                         yield pa.RecordBatch.from_arrays([pa.array(own[:, 1]), piece.column("name").take(pa.array(own[:, 0]))], ["seed", "name"])
 
-    return texts.mapInArrow(run, "seed long, name long")
+    return texts.mapInArrow(giving_back(run), "seed long, name long")
 
 
 def _lengths(items: DataFrame) -> np.ndarray:
@@ -295,7 +295,7 @@ def _lengths(items: DataFrame) -> np.ndarray:
                 n = np.unique(np.diff(_words(piece.column("text")).first))
                 yield pa.RecordBatch.from_arrays([pa.array(n[n < max(map(len, MASKS))], pa.int64())], ["n"])
 
-    return np.array([r.n for r in items.select("text").mapInArrow(run, "n long").distinct().collect()], np.int64)
+    return np.array([r.n for r in items.select("text").mapInArrow(giving_back(run), "n long").distinct().collect()], np.int64)
 
 
 def _found(documents: DataFrame, benchmark: DataFrame, base: str, shortest: int) -> DataFrame:
@@ -314,7 +314,7 @@ def _found(documents: DataFrame, benchmark: DataFrame, base: str, shortest: int)
         for batch in batches:
             yield batch.filter(pa.array(wanted.holds(np.asarray(batch.column("name"), np.int64))))
 
-    some = texts.mapInArrow(likely, "name long, text string").join(parts.select("name"), "name", "left_semi").groupBy("name").agg(F.min("text").alias("text"))
+    some = texts.mapInArrow(giving_back(likely), "name long, text string").join(parts.select("name"), "name", "left_semi").groupBy("name").agg(F.min("text").alias("text"))
     grouped = pairs.join(parts, "name").join(items.withColumnRenamed("text", "item_text"), "item").groupBy("name", F.pmod("item", "parts").alias("part")).agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
 
     def verify(batches):
@@ -326,7 +326,7 @@ def _found(documents: DataFrame, benchmark: DataFrame, base: str, shortest: int)
                     item = np.array([x["item"] for x in own], np.int64)[hits["item"]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("name")[i].as_py(), len(item)), pa.int64()), pa.array(item), *(pa.array(hits[k], pa.int64()) for k in ("start", "n_words", "n_equal"))], ["name", "item", "start", "n_words", "n_equal"])
 
-    found = grouped.join(some, "name").select("name", "items", "text").mapInArrow(verify, "name long, item long, start long, n_words long, n_equal long")
+    found = grouped.join(some, "name").select("name", "items", "text").mapInArrow(giving_back(verify), "name long, item long, start long, n_words long, n_equal long")
     return stored(found, f"{base}/found")
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Words, discard, fresh, least_reached, mixed, pieces, scratch, shingles, stored
+from .common import IdFilter, Words, discard, fresh, giving_back, least_reached, mixed, pieces, scratch, shingles, stored
 
 #: Counters of the frequency sketch: 4 MB, whatever the input's size.
 SKETCH_BITS = 20
@@ -80,7 +80,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
                 sums[s] = sums[s] + part if s in sums else part.astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
+    parts = docs.select("text").mapInArrow(giving_back(count), "slice int, counts binary").repartition(_SLICES, "slice").mapInArrow(giving_back(add), "slice int, counts binary").collect()
     out = np.zeros((_SLICES, width // _SLICES), np.float32)
     for s, raw in parts:
         out[s] += np.frombuffer(raw, np.float32)
@@ -139,7 +139,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray, c
                     ["doc_id", "n", "node", "check", "l", "head"],
                 )
 
-    return docs.mapInArrow(prefixes, "doc_id long, n long, node long, check long, l int, head array<long>")
+    return docs.mapInArrow(giving_back(prefixes), "doc_id long, n long, node long, check long, l int, head array<long>")
 
 
 def _names(heads: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _of_wanted(docs: DataFrame, k: int, wanted: DataFrame, kept) -> DataFrame:
                 own = [np.unique(h[first[i] : first[i + 1]]) for i in range(len(piece))]
                 yield pa.RecordBatch.from_arrays([pa.array([_name(x)[0] for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array([kept(x).tobytes() for x in own], pa.binary())], ["node", "n", "kept"])
 
-    found = docs.where("doc_id is not null").mapInArrow(sets, "node long, n long, kept binary").join(wanted.select("node"), "node", "left_semi")
+    found = docs.where("doc_id is not null").mapInArrow(giving_back(sets), "node long, n long, kept binary").join(wanted.select("node"), "node", "left_semi")
     return found.groupBy("node").agg(F.min("n").alias("n"), F.min("kept").alias("kept"))
 
 
@@ -204,7 +204,7 @@ def _likely(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 good[i] = den * most >= num * (m + n - most)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(giving_back(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -218,7 +218,7 @@ def _verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 good[i] = den * shared >= num * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
 
-    return pairs.mapInArrow(verify, "a long, b long")
+    return pairs.mapInArrow(giving_back(verify), "a long, b long")
 
 
 def _postings(names: DataFrame, kept: IdFilter) -> DataFrame:
@@ -236,7 +236,7 @@ def _postings(names: DataFrame, kept: IdFilter) -> DataFrame:
             score = np.bincount(own, minlength=len(batch))[own]
             yield pa.RecordBatch.from_arrays([pa.array(token[hit]), *(batch.column(c).take(pa.array(own)) for c in ("node", "n", "l")), pa.array(place[hit]), pa.array(score)], ["token", "node", "n", "l", "place", "score"])
 
-    return names.select("node", "n", "l", "head").mapInArrow(run, "token long, node long, n long, l int, place long, score long")
+    return names.select("node", "n", "l", "head").mapInArrow(giving_back(run), "token long, node long, n long, l int, place long, score long")
 
 
 def _stars(posts: DataFrame, num: int, den: int) -> DataFrame:
@@ -284,7 +284,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["block", "label", "n", "node"]
-    return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(cut, "tile long, docs binary, labels binary, sizes binary, hashes binary")
+    return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(giving_back(cut), "tile long, docs binary, labels binary, sizes binary, hashes binary")
 
 
 def _tile_members(tiles: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def _tile_members(tiles: DataFrame) -> DataFrame:
                 columns = [pa.array(np.frombuffer(batch.column(c)[i].as_buffer(), np.int64)) for c in ("docs", "labels", "sizes")]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("tile")[i].as_py(), len(columns[0]))), *columns], ["tile", "node", "label", "n"])
 
-    return tiles.select("tile", "docs", "labels", "sizes").mapInArrow(run, "tile long, node long, label long, n long")
+    return tiles.select("tile", "docs", "labels", "sizes").mapInArrow(giving_back(run), "tile long, node long, label long, n long")
 
 
 def shared_counts(sizes: list[np.ndarray], hashes: list[np.ndarray]) -> np.ndarray:
@@ -338,7 +338,7 @@ def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
                     other = names != low
                     yield pa.RecordBatch.from_arrays([pa.array(low[other]), pa.array(names[other])], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(giving_back(run), "a long, b long")
 
 
 def _spans(met: DataFrame, tiles: DataFrame, num: int, den: int, uri: str, laid: int = LAID_BYTES) -> DataFrame:

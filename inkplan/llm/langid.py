@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import giving_back, pieces
 
 #: Hash slots of the trigram table of each language.
 SLOTS = 1 << 16
@@ -115,7 +115,7 @@ def _counts(labelled: DataFrame) -> list[tuple[str, np.ndarray]]:
         yield out(langs)
 
     schema = "lang string, counts binary"
-    found = labelled.select("text", "lang").mapInArrow(count, schema).repartition("lang").mapInArrow(add, schema).collect()
+    found = labelled.select("text", "lang").mapInArrow(giving_back(count), schema).repartition("lang").mapInArrow(giving_back(add), schema).collect()
     assert all(len(r.counts) == 8 * width for r in found)
     return [(r.lang, np.frombuffer(r.counts, np.int64)) for r in found]
 
@@ -232,7 +232,7 @@ def identify(documents: DataFrame, model: Model, spans: bool = False) -> DataFra
                     names.append("spans")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predict, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(predict), schema)
 
 
 def held_out() -> F.Column:
@@ -255,4 +255,4 @@ def in_a_language(documents: DataFrame, model: Model, least: float = 0.0) -> Dat
                 label, score, _ = model.predict(piece.column("text").to_pylist())
                 yield piece.filter(pa.array((np.array(label, object) != "und") & (score >= least)))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(giving_back(keep), documents.schema)

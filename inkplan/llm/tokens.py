@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import get_file, pieces, put_file, scratch, stored
+from .common import get_file, giving_back, pieces, put_file, scratch, stored
 
 MAGIC = b"WMTX0001"
 #: A shard is closed by the document that brings it to so many tokens.
@@ -266,7 +266,7 @@ def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
             yield close()
 
     ordered = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
-    shards = stored(ordered.select("doc_id", "text").mapInArrow(write, "uri string, part int, shard int, n_tokens long"), f"{folder}/shards")
+    shards = stored(ordered.select("doc_id", "text").mapInArrow(giving_back(write), "uri string, part int, shard int, n_tokens long"), f"{folder}/shards")
     # ids before a shard: those of the parts before, of which there are as many as partitions, and of its own part
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
@@ -290,7 +290,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(begins + start), pa.array(shard.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("uri", "start").repartition(parts, "uri").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("uri", "start").repartition(parts, "uri").mapInArrow(giving_back(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(documents: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 1, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

@@ -788,3 +788,34 @@ def test_tokens_remember_frequent_words(monkeypatch):
     text = " ".join(f"Zürich {a}{b}, the (zürich) it's 'so''{a}" for a in "abcdef" for b in "ghijkl")
     assert np.frombuffer(words.encode(text), words.kind).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
     assert asked.count("the") == 1 and len(words) + len(words.older) <= 80
+
+
+def test_workers_give_memory_back(spark, tmp_path):
+    """Workers outlive their tasks: what a task has freed may not stay with them, in each stage of the pipeline that cuts texts up."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    def kept():
+        def look(batches):
+            import ctypes
+
+            rest = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon"))  # noqa: E731, SIM115
+            for batch in batches:
+                held = rest()
+                pa.default_memory_pool().release_unused()
+                ctypes.CDLL(None).malloc_trim(0)
+                yield pa.RecordBatch.from_arrays([pa.array([(held - rest()) >> 10] * len(batch), pa.int64())], ["mb"])
+
+        return max(r.mb for r in spark.range(0, 32, 1, 32).mapInArrow(look, "mb long").collect())
+
+    words = "transform(sequence(1, 400), i -> translate(hex(xxhash64(id, i)), '0123456789', 'ghijklmnop'))"
+    docs = spark.range(0, 1000, 1, 4).selectExpr("id as doc_id", f"lower(concat_ws(' ', {words})) as text", "if(id % 2 = 0, 'a', 'b') as lang")
+    docs.write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.schema(docs.schema).parquet(f"{tmp_path}/documents")
+    model = langid.fit(docs)
+    left = {}
+    for name, run in (("language", lambda: langid.in_a_language(docs, model)), ("near", lambda: jaccard.one_of_each(docs)), ("tokens", lambda: tokens.token_output(docs, public_tokenizers.path("word_bpe_49k.json")))):
+        kept()
+        assert run().count() == 1000
+        left[name] = kept()
+    assert max(left.values()) <= 12, left
